@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pagemill.llm import simhash
+from pagemill.llm import langid, mixing, simhash
 
 QUERIES = {
+    "op1_mixing": mixing.query,
+    "op8_langid": langid.query,
     "op9_simhash": simhash.query,
 }
 
