@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pagemill.llm import langid, mixing, simhash
+from pagemill.llm import langid, mixing, packing, pii, simhash
 
 QUERIES = {
     "op1_mixing": mixing.query,
+    "op4_packing": packing.query,
+    "op7_pii": pii.query,
     "op8_langid": langid.query,
     "op9_simhash": simhash.query,
 }
