@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import common, simhash
+from pagemill.llm import common, langid, mixing, packing, pii, simhash
 
 STAGES = [
-    ("simhash near-duplicates", simhash.stage),
+    ("language", langid.stage),
+    ("near-duplicates", simhash.stage),
+    ("surrogates", pii.stage),
+    ("mixing", mixing.stage),
+    ("packing", packing.stage),
 ]
 
 #: The stages learn models, hash with keys and link near-duplicates, which SQL can't express; tests use brute force.
@@ -18,5 +22,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents, each result cut off from its lineage by a table in the shared folder."""
     docs = common.documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = common.write_table(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        docs = common.write_table(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
