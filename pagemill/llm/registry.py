@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pagemill.llm import langid, mixing, packing, pii, simhash
+from pagemill.llm import additive, langid, mixing, packing, pii, pivots, simhash, warc
 
 QUERIES = {
     "op1_mixing": mixing.query,
+    "op2_pivots": pivots.query,
+    "op3_warc": warc.query,
     "op4_packing": packing.query,
     "op7_pii": pii.query,
     "op8_langid": langid.query,
     "op9_simhash": simhash.query,
+    "op10_additive": additive.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_warc": warc.ORACLE,
+}
