@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pagemill.plans import relations, texts  # noqa: F401  they register their queries
+from pagemill.plans.common import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

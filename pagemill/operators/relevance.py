@@ -1,0 +1,52 @@
+"""BM25 over blocks as relations: a corpus of documents at once, with statistics per document."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from pagemill.functions.relevance import K1, B, KEEP
+
+
+def blocks(docs: DataFrame, key: str, text: str, separator: str = "\n\n") -> DataFrame:
+    """(key, ix, block): blocks in document order; a heading goes with the block after it."""
+    trimmed = F.transform(F.split(F.col(text), separator, -1), lambda p: F.regexp_replace(p, r"\A\s+|\s+\z", ""))
+    parts = docs.select(key, F.posexplode(F.filter(trimmed, lambda p: p != "")).alias("ix", "part"))
+    parts = parts.withColumn("heading", F.col("part").startswith("#") & ~F.col("part").contains("\n"))
+    w = Window.partitionBy(key).orderBy("ix")
+    parts = parts.select(key, "ix", "part", "heading", F.lag("heading").over(w).alias("after"), F.lag("part").over(w).alias("before"), F.lead("ix").over(w).alias("next"))
+    block = F.when(~F.col("heading") & F.coalesce("after", F.lit(False)), F.concat("before", F.lit("\n\n"), "part")).otherwise(F.col("part"))
+    return parts.where(~F.col("heading") | F.col("next").isNull()).select(key, "ix", block.alias("block"))
+
+
+def words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda w: w != "")
+
+
+def scores(found: DataFrame, key: str, query: list[str]) -> DataFrame:
+    """blocks -> (key, ix, block, n, score): BM25 of each block against the query's words within its document."""
+    w = Window.partitionBy(key)
+    bag = found.withColumn("terms", words(F.col("block")))
+    bag = bag.withColumn("length", F.size("terms"))
+    total = F.lit(0.0)
+    sized = bag.select(key, "ix", "block", "length", *[(F.col("length") - F.size(F.array_remove(F.col("terms"), q))).alias(f"tf{k}") for k, q in enumerate(query)])
+    sized = sized.withColumns({"n": F.count("*").over(w), "mean": F.avg("length").over(w), **{f"df{k}": F.sum((F.col(f"tf{k}") > 0).cast("long")).over(w) for k in range(len(query))}})
+    for k in range(len(query)):
+        tf, df = F.col(f"tf{k}"), F.col(f"df{k}")
+        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
+        weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.greatest("mean", F.lit(1e-9))))
+        total = total + F.when(tf > 0, idf * weight).otherwise(0.0)
+    return sized.select(key, "ix", "block", "n", total.alias("score"))
+
+
+def kept(scored: DataFrame, key: str, keep: float = KEEP) -> DataFrame:
+    """The best max(1, round(n * keep)) blocks of each document, ties to the earlier one, with their rank."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.round("score", 9)), "ix"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= F.greatest(F.lit(1), F.round(F.col("n") * keep).cast("int")))
+
+
+def filtered(docs: DataFrame, key: str, text: str, query: list[str], keep: float = KEEP, separator: str = "\n\n") -> DataFrame:
+    """(key, markdown): each document's best blocks in document order."""
+    best = kept(scores(blocks(docs, key, text, separator), key, query), key, keep)
+    rows = F.array_sort(F.collect_list(F.struct("ix", "block")))
+    return best.groupBy(key).agg(F.array_join(F.transform(rows, lambda r: r["block"]), "\n\n").alias("markdown"))
