@@ -48,6 +48,14 @@ def drop_table(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name, or the like, that isn't among columns (letter case doesn't tell columns apart)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z, every other character as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -59,5 +67,27 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.length(F.regexp_replace(marks, rf"[{SPACE}]+", "")), F.lit(0)).cast("long")
 
 
+def hash_sample(rows: DataFrame, count: int, limit: int, keys: list[str], columns: list[str]) -> DataFrame:
+    """columns of the limit rows (of count) with the smallest hashes of keys: the same ones under any partitioning.
+
+    A bound on the hash keeps about twice as many first, so that no partition sends the driver more than its share.
+    """
+    hashed = rows.select(F.xxhash64(*keys).alias("_hash"), *columns)
+    if count > 2 * limit:
+        hashed = hashed.where(F.col("_hash") < int(2 * limit / count * 2**64) - 2**63)
+    return hashed.orderBy("_hash", *columns).limit(limit).drop("_hash")
+
+
+_worker: dict = {}
+
+
+def worker_cache(key, make):
+    """What a Python worker keeps from task to task: one thing at a time, so that memory holds the last one alone."""
+    if key not in _worker:
+        _worker.clear()
+        _worker[key] = make()
+    return _worker[key]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -19,7 +19,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import new_path, write_table
+from pagemill.llm.common import hash_sample, new_path, write_table
 
 #: Payloads shorter than this are never revisits.
 LEAST_REVISIT = 100
@@ -36,7 +36,7 @@ def _payload(html: Column) -> Column:
 
 def _bounds(light: DataFrame, shards: int) -> list[float]:
     """Inner bounds of page_id that split a hash sample's bytes evenly; the sample is the same on every run."""
-    sample = light.where("page_id IS NOT NULL").select("page_id", "payload_bytes", F.xxhash64("page_id", "digest").alias("h")).orderBy("h", "page_id").limit(BOUND_ROWS).collect()
+    sample = hash_sample(light.where("page_id IS NOT NULL"), light.count(), BOUND_ROWS, ["page_id", "digest"], ["page_id", "payload_bytes"]).collect()
     rows = sorted((float(r["page_id"]), r["payload_bytes"] + 500) for r in sample)
     total, run, out = sum(b for _, b in rows), 0, []
     for key, size in rows:
