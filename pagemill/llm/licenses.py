@@ -12,7 +12,6 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -190,10 +189,7 @@ class Scanner:
                     if k >= done and (end := automaton.match(words, k)) is not None:
                         spans.append((label, k, end))
                         done = end
-        covered = np.zeros(len(words), bool)
-        for _, a, b in spans:
-            covered[a:b] = True
-        score = 0.0 if not words or not (places or spans) else 0.5 + 0.5 * float(covered.mean()) if spans else 0.25
+        score = 1.0 if spans else 0.5 if places else 0.0
         return places, base, {label for label, _, _ in spans}, score, spans
 
 
@@ -209,7 +205,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
     """docs (doc_id, text, ...) -> (doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score[,
     spans]), one row per row.
 
-    score: 0 without a place; 0.25 with base phrases alone; else 0.5 plus half the share of words that templates cover.
+    score: 1 if a template accepts words of the text, 0.5 if it holds base phrases alone, else 0.
     Texts that hold none of the words that every template or phrase needs one of never leave the JVM. Null texts count
     as empty; texts are read whole; repeated rows give equal rows; other columns are ignored; an empty table gives an
     empty one.
@@ -238,5 +234,32 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
     return docs.select("doc_id", n_words(F.col("text")).alias("n"), F.when(may, F.col("text")).alias("t")).mapInArrow(run, schema)
 
 
+def to_regex(template: str) -> str:
+    """The template as a regular expression over words that one blank each precedes, for RE2; a blank must follow."""
+    out = []
+    for k, part in enumerate(MARKUP.split(template)):
+        if k % 2 == 0:
+            out += [" " + w.decode() for w in words_of(part)]
+        else:
+            out.append({"optional": "(?:", "/optional": ")?"}.get(part) or f"(?: [^ ]+){{0,{part.split()[1]}}}")
+    return "".join(out) + " "
+
+
+def oracle() -> str:
+    """DuckDB's SQL for the query."""
+    places = " || ".join("list_filter(range(len(w)), lambda i: " + " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(p.split())) + ")" for p in PHRASES)
+    base = ", ".join(f"CASE WHEN contains(t, ' {p} ') THEN '{label}' END" for p, label in PHRASES.items())
+    more = ", ".join(f"CASE WHEN regexp_matches(t, '{to_regex(t)}') THEN '{label}' END" for label, t in TEMPLATES.items())
+    joined = "array_to_string(list_sort(list_distinct({x})), ',')"
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+t AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS t FROM d),
+p AS (SELECT *, CASE WHEN contains(t, ' license ') THEN {places} ELSE [] END AS places, list_filter([{base}], lambda x: x IS NOT NULL) AS base,
+CASE WHEN regexp_matches(t, 'licen|permi|redis') THEN list_filter([{more}], lambda x: x IS NOT NULL) ELSE [] END AS more FROM t)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word,
+{joined.format(x='base')} AS base_labels, {joined.format(x='base || more')} AS labels, CASE WHEN len(more) > 0 THEN 1.0::DOUBLE WHEN len(places) > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score FROM p
+"""
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir), spans=False)
