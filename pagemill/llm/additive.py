@@ -14,13 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import write_table
+from pagemill.llm.common import hash_sample, write_table
 from pagemill.llm.vectors import matrix, unit, usable
 
 #: Codebooks, codewords in each, beam width, and vectors (of the smallest hashes) that codebooks are fitted on.
 BOOKS, WORDS, BEAM, SAMPLE = 16, 64, 6, 8192
-#: Queries and vectors that meet in one block, and share of a block's vectors that is reranked exactly.
-QUERIES, ROWS, RERANK = 1024, 4096, 1 / 8
+#: Queries and vectors that meet in one block, and a block's vectors that are reranked exactly for each query, at least.
+QUERIES, ROWS, RERANK = 1024, 4096, 512
 
 
 def encode(rows: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
@@ -77,7 +77,7 @@ def build(vectors: DataFrame) -> tuple[DataFrame, object]:
     good = vectors.where(usable(F.col("vec_id"), F.col("embedding"))).select("vec_id", F.size("embedding").alias("dim"), "embedding")
     books: dict[int, np.ndarray] = {}
     for r in good.groupBy("dim").agg(F.count("*").alias("n")).collect():
-        rows = good.where(F.col("dim") == r["dim"]).select("embedding", F.xxhash64("embedding").alias("h"), "vec_id").orderBy("h", "vec_id").limit(SAMPLE).collect()
+        rows = hash_sample(good.where(F.col("dim") == r["dim"]), r["n"], SAMPLE, ["vec_id", "embedding"], ["embedding"]).collect()
         books[r["dim"]] = fit(unit(np.array([x["embedding"] for x in rows], np.float64)).astype(np.float32))
     shared = spark.sparkContext.broadcast(books)  # BOOKS x WORDS vectors of each length
 
@@ -100,8 +100,8 @@ def search(index: DataFrame, books, queries: DataFrame, k: int = 20) -> DataFram
     """index and books of build(), queries (query_id, embedding) -> (query_id, rank, vec_id, score).
 
     The k nearest by inner product, nearest first, ties to the smaller vec_id, without the query's own vec_id. Queries
-    and index rows meet in blocks by hash, whose numbers follow the tables' counts; of each block the share RERANK of
-    rows with the best codes, and at least 4 k, is scored exactly. Queries that aren't usable vectors, and those whose
+    and index rows meet in blocks by hash, whose numbers follow the tables' counts; of each block the RERANK rows
+    with the best codes, and at least 4 k, are scored exactly. Queries that aren't usable vectors, and those whose
     length no index row has, have no rows; a repeated query has its rows once for each time.
     """
     rows = index.agg(F.count("*").alias("n")).first()["n"]
@@ -125,28 +125,29 @@ def search(index: DataFrame, books, queries: DataFrame, k: int = 20) -> DataFram
                     continue
                 key = tuple(keys[x].tolist())
                 if key != last and held:
-                    yield from _block(pa.Table.from_batches(held), books.value[last[0]], k)
+                    yield from _block(pa.Table.from_batches(held), books.value.get(last[0]), k)
                 if key != last:
                     last, held = key, []
                 held.append(batch.slice(x, y - x))
         if held:
-            yield from _block(pa.Table.from_batches(held), books.value[last[0]], k)
+            yield from _block(pa.Table.from_batches(held), books.value.get(last[0]), k)
 
     found = met.mapInArrow(run, "q long, query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _block(table: pa.Table, books: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+def _block(table: pa.Table, books: np.ndarray | None, k: int) -> Iterator[pa.RecordBatch]:
     """The k nearest rows of a block to each of its queries, by codes and then exactly; rows come sorted by id."""
     side = table.column("side").to_numpy()
     asked, rows = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1))
-    if not asked.num_rows or not rows.num_rows:
+    if books is None or not asked.num_rows or not rows.num_rows:
         return
     ids, row_vectors, scale = rows.column("id").to_numpy(), matrix(rows.column("embedding").combine_chunks()), rows.column("scale").to_numpy().astype(np.float32)
     codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
     numbers, names, vectors = asked.column("q").to_numpy(), asked.column("id").to_numpy(), matrix(asked.column("embedding").combine_chunks())
-    most = min(len(ids), max(4 * k, int(len(ids) * RERANK)))
+    most = min(len(ids), max(4 * k, RERANK))
+    columns = np.ascontiguousarray(row_vectors.T)
     for at in range(0, len(names), 64):
         own, x = names[at : at + 64], vectors[at : at + 64]
         table_of = x.astype(np.float32) @ books.reshape(-1, books.shape[2]).T  # a query's inner products with all codewords
@@ -159,7 +160,9 @@ def _block(table: pa.Table, books: np.ndarray, k: int) -> Iterator[pa.RecordBatc
         above, level = rough > edge, rough == edge
         chosen = above | (level & (np.cumsum(level, axis=1) <= most - above.sum(axis=1, keepdims=True)))  # ties: smaller ids
         best = np.nonzero(chosen)[1].reshape(len(x), most)
-        exact = np.einsum("qd,qrd->qr", x, row_vectors[best])
+        exact = np.zeros(best.shape)
+        for d, column in enumerate(columns):  # in the order of components, so that sums agree to the last bit
+            exact += x[:, d, None] * column[best]
         exact[own[:, None] == ids[best]] = -np.inf
         order = np.argsort(-exact, axis=1, kind="stable")[:, :k]
         score, hit = np.take_along_axis(exact, order, 1), ids[np.take_along_axis(best, order, 1)]
@@ -172,3 +175,12 @@ def query(spark, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     index, books = build(vectors)
     return search(index, books, vectors.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "embedding"))
+
+
+ORACLE = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import write_table
+from pagemill.llm.common import hash_sample, write_table
 from pagemill.llm.components import connected_components
 from pagemill.llm.vectors import matrix, unit, usable
 
@@ -73,7 +73,7 @@ def _pairs(spark, classes: DataFrame, threshold: float, nearest: int, min_shared
     pivots: dict[int, np.ndarray] = {}
     for dim, n in sizes.items():
         k = int(np.clip(2 ** round(np.log2(4 * np.sqrt(n))), *PIVOTS))
-        drawn = classes.where(F.col("dim") == dim).select("embedding", F.xxhash64("h1").alias("o"), "h2").orderBy("o", "h2").limit(POOL * k).collect()
+        drawn = hash_sample(classes.where(F.col("dim") == dim), n, POOL * k, ["h1", "h2"], ["embedding"]).collect()
         pivots[dim] = spread(unit(np.array([r["embedding"] for r in drawn], np.float64)).astype(np.float32), k)
     shared = spark.sparkContext.broadcast(pivots)  # at most PIVOTS[1] vectors of each length
 
@@ -177,3 +177,14 @@ def _join(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return link(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT a AS vec_id, b AS other FROM l UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.other = l.a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a), m AS (SELECT vec_id, min(other) AS low FROM r GROUP BY vec_id)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(low, e.vec_id)) AS component_id, e.vec_id <= coalesce(low, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN n USING (vec_id) LEFT JOIN m USING (vec_id)
+"""

@@ -18,5 +18,8 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_pivots": pivots.ORACLE,
     "op3_warc": warc.ORACLE,
+    "op5_licenses": licenses.oracle(),
+    "op10_additive": additive.ORACLE,
 }
