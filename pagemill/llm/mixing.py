@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import SPACE, documents, word_count, write_table
+from pagemill.llm.common import SPACE, documents, unused, word_count, write_table
 
 #: Permuted blocks per source, and sub-blocks by which the one block that a target cuts is refined.
 BLOCKS, SUBS = 256, 4096
@@ -161,22 +161,24 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """docs' columns, _shard and _order: one row for each copy that the mix takes, texts cut where a copy is partial.
+    """docs' columns, then _shard and _order: one row for each copy that the mix takes, texts cut where a copy is partial.
 
     Sort by _order within _shard for the locally shuffled stream of each output shard.
     """
-    seed = options.get("seed", 20)
-    columns = docs.columns
+    seed, columns, kinds = options.get("seed", 20), docs.columns, dict(docs.dtypes)
+    rest = [c for c in columns if c not in ("doc_id", "text", "source")]
+    docs = docs.select("doc_id", "text", "source", F.struct(*rest, F.lit(0).alias(unused("row", rest))).alias("_rest"))  # names can't clash
     sized = write_table(with_size(docs, seed).select("doc_id", "source", "_size", "_h", "_block", "_sub"), "mix-sizes")
     rows = apply_plan(with_size(docs, seed), make_plan(sized, **options)).where("taken > 0")
-    copies = rows.select(*columns, "_size", "_part", "_epochs", "_h", F.posexplode("shards").alias("_copy", "_shard"))
+    copies = rows.select("doc_id", "text", "source", "_rest", "_size", "_part", "_epochs", "_h", F.posexplode("shards").alias("_copy", "_shard"))
     short = (F.col("_copy") == F.col("_epochs")) & (F.col("_part") < F.col("_size"))
     words = F.regexp_extract_all("text", F.lit(rf"[{SPACE}]*[^{SPACE}]+"), F.lit(0))
     text = F.when(short, F.array_join(F.slice(words, F.lit(1), F.col("_part").cast("int")), "")).otherwise(F.col("text"))
-    copies = copies.withColumn("text", text).withColumn("_order", F.xxhash64(F.lit(seed), "_h", "_copy"))
-    if "n_chars" in columns:
-        copies = copies.withColumn("n_chars", F.when(short, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return copies.select(*columns, "_shard", "_order")
+    copies = copies.select("doc_id", text.alias("text"), "source", "_rest", short.alias("_short"), F.col("_shard").alias("_to"), F.xxhash64(F.lit(seed), "_h", "_copy").alias("_order"))
+    whole = {c: F.col("_rest")[c] for c in rest} | {c: F.col(c) for c in ("doc_id", "text", "source")}
+    if "n_chars" in rest:
+        whole["n_chars"] = F.when(F.col("_short"), F.length("text").cast(kinds["n_chars"])).otherwise(whole["n_chars"])
+    return copies.select(*[whole[c].alias(c) for c in columns], F.col("_to").alias(unused("_shard", columns)), F.col("_order").alias(unused("_order", columns)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -185,4 +187,6 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed corpus: a document that is taken twice is there twice, one that isn't taken goes."""
-    return mixed_rows(docs).repartition("_shard").sortWithinPartitions("_shard", "_order").select(*docs.columns)
+    rows = mixed_rows(docs)
+    shard, order = rows.columns[-2:]
+    return rows.repartition(shard).sortWithinPartitions(shard, order).select(*docs.columns)

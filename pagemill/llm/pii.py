@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import documents, drop_table, write_table
+from pagemill.llm.common import documents, drop_table, unused, write_table
 
 #: Given names by script and gender: what marks a name, and what replaces it (fixed values).
 GIVEN = {
@@ -193,6 +193,8 @@ def replace_pii(docs: DataFrame, key: str = "pagemill", count: str | None = None
     Repeated rows get equal texts; an empty table gives an empty one. Texts with entities meet the surrogates by a
     hash of the text; hot texts and hot entities meet in joins whose sides adaptive execution splits.
     """
+    columns, added, rest = docs.columns, [count] if count else [], [c for c in docs.columns if c != "text"]
+    docs = docs.select(F.struct(*rest, F.lit(0).alias(unused("row", rest))).alias("_rest"), "text")  # names can't clash
     found = _by_text("text", lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0)))
     has = F.coalesce(_by_text("text", lambda p: F.col("text").rlike(p)), F.lit(False))
     pairs = docs.where(has).select(F.xxhash64("text").alias("_key"), F.explode(F.array_distinct(found)).alias("entity")).distinct()
@@ -205,11 +207,10 @@ def replace_pii(docs: DataFrame, key: str = "pagemill", count: str | None = None
     hit = hit.withColumns({"_map": F.coalesce("_map", none), "_found": found})
     new = F.concat(F.transform("_found", lambda e: F.coalesce(F.element_at(F.col("_map"), e), e)), F.array(F.lit("")))
     text = F.array_join(F.zip_with(_by_text("text", lambda p: F.split("text", p, -1)), new, lambda a, b: F.concat(a, b)), "")
-    added = {count: F.size(F.filter("_found", lambda e: F.map_contains_key(F.col("_map"), e))).cast("long")} if count else {}
-    columns = [*docs.columns, *added]
-    hit = hit.withColumns({"text": text, **added}).select(*columns)
-    clean = docs.where(~has).withColumns({name: F.lit(0).cast("long") for name in added}).select(*columns)
-    return hit.unionByName(clean)
+    places = F.size(F.filter("_found", lambda e: F.map_contains_key(F.col("_map"), e))).cast("long")
+    hit = hit.select("_rest", text.alias("text"), *[places.alias(name) for name in added])
+    clean = docs.where(~has).select("_rest", "text", *[F.lit(0).cast("long").alias(name) for name in added])
+    return hit.unionByName(clean).select(*[F.col("text") if c == "text" else F.col("_rest")[c].alias(c) for c in columns], *added)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
