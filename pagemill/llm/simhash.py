@@ -18,8 +18,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pagemill.llm.common import documents, write_table
+from pagemill.llm.common import documents, unused, write_table
 from pagemill.llm.components import connected_components
 
 #: Rows of a bucket above which it is split again over the bits that its key leaves open.
@@ -49,16 +50,16 @@ def fingerprint_of(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * votes > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp long) of every row of docs (doc_id, text); fp holds the unsigned fingerprint's bits."""
+def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, keep: tuple[str, ...] = ("doc_id",), name: str = "fp") -> DataFrame:
+    """keep's columns of every row of docs (text, ...) and fp long, which holds the unsigned fingerprint's bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint_of(t.as_py(), shingle, seed) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            found = [fingerprint_of(t.as_py(), shingle, seed) for t in batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.array(found, np.uint64).view(np.int64))], names=[*keep, name])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
+    schema = T.StructType([docs.schema[c] for c in keep]).add(name, "long")
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- plan of the index
@@ -238,6 +239,16 @@ def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
 # ---------------------------------------------------------------- the operator
 
 
+def classes_of(table: DataFrame, radius: int = 4) -> DataFrame:
+    """table (doc_id, fp) -> (fp, component, component_id), one row per fingerprint: the smallest fingerprint that is
+    reachable, and the smallest doc_id of all rows whose fingerprint is."""
+    classes = write_table(table.groupBy("fp").agg(F.min("doc_id").alias("low")), "fingerprint-classes")
+    found = write_table(connected_components(links(classes, radius)), "fingerprint-components")
+    grouped = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    lows = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
+    return write_table(grouped.join(lows, "component").select("fp", "component", "component_id"), "fingerprint-labels")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
     """docs (doc_id, text, ...) -> (doc_id, fp long, component_id): one row per row of docs.
 
@@ -247,12 +258,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, radius: i
     repeated rows each get a row; other columns are ignored; an empty table gives an empty one.
     """
     table = write_table(fingerprints(docs, shingle, seed), "fingerprints")
-    classes = write_table(table.groupBy("fp").agg(F.min("doc_id").alias("low")), "fingerprint-classes")
-    found = write_table(connected_components(links(classes, radius)), "fingerprint-components")
-    grouped = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    lows = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
-    labels = write_table(grouped.join(lows, "component").select("fp", "component_id"), "fingerprint-labels")
-    return table.join(labels, "fp").select("doc_id", "fp", "component_id")
+    return table.join(classes_of(table, radius), "fp").select("doc_id", "fp", "component_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -261,6 +267,11 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest doc_id (of repeated rows, one)."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each near-duplicate group stays: the one with the smallest doc_id; of rows that repeat it, one."""
+    columns, fp = docs.columns, unused("fp", docs.columns)
+    marked = write_table(fingerprints(docs, keep=tuple(columns), name=fp), "fingerprints")
+    labels = classes_of(marked.select("doc_id", F.col(fp).alias("fp"))).select(F.col("fp").alias(fp), F.struct("component", "component_id").alias(unused("class", columns)))
+    group = F.col(unused("class", columns))
+    first = marked.join(labels, fp).where(F.col("doc_id").eqNullSafe(group["component_id"]))
+    part = unused("part", columns)
+    return first.withColumn(part, group["component"]).dropDuplicates([part]).select(*columns)

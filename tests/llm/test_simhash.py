@@ -113,4 +113,4 @@ def test_edges_and_stage(spark):
     got = S.near_duplicates(docs).collect()
     assert len(got) == 5 and {(r["doc_id"], r["component_id"]) for r in got} == {(3, 1), (1, 1), (7, 7), (None, None)}
     kept = S.stage(spark, docs, "")
-    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [1, 7]
+    assert kept.columns == docs.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 7]
