@@ -8,6 +8,8 @@ import sys
 
 from pagemill.options import FLAGS, VALUES, DeepStrategy, Options
 
+#: Short forms.
+SHORT = {"output": ("-o",), "output_dir": ("-O",), "query": ("-q",)}
 HELP = {
     "raw": "keep the whole page", "prune": "keep the main content alone", "citations": "links as numbered citations", "refs": "citations with a list of references",
     "full": "scroll to the end (browser)", "no_links": "text of links only", "no_images": "no images", "site": "every page of the site's sitemaps", "browser": "render pages",
@@ -21,12 +23,13 @@ HELP = {
 def parser() -> argparse.ArgumentParser:
     made = argparse.ArgumentParser("pagemill", description="Web pages to markdown for language models.")
     made.add_argument("url")
+    made.add_argument("--tui", action="store_true", help="interactive screens (none in this build)")
     for name, flag in FLAGS.items():
         made.add_argument(flag, dest=name, action="store_true", help=HELP[name])
     for name, flag in VALUES.items():
         default = getattr(Options, name)
         kind = int if isinstance(default, int) else str
-        made.add_argument(flag, dest=name, type=kind, default=default, help=HELP[name], choices=[s.value for s in DeepStrategy] if name == "deep" else None)
+        made.add_argument(*SHORT.get(name, ()), flag, dest=name, type=kind, default=default, help=HELP[name], choices=[s.value for s in DeepStrategy] if name == "deep" else None)
     made.add_argument("--print-options", action="store_true", help=argparse.SUPPRESS)
     return made
 
@@ -39,6 +42,9 @@ def parse(args: list[str]) -> tuple[Options, bool]:
 
 def main(args: list[str] | None = None) -> int:
     options, show = parse(sys.argv[1:] if args is None else args)
+    if options.tui:
+        print("this build has no interactive screens; run without --tui", file=sys.stderr)
+        return 2
     if show:
         print("\n".join(f"{f.name}: {getattr(options, f.name)}" for f in dataclasses.fields(options)))
         return 0
