@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import expressions as E
@@ -37,7 +37,7 @@ def located(documents: DataFrame) -> DataFrame:
 
 
 def collect_urls(documents: DataFrame, seed_urls: list[str], base_host: str, match: str | None = None, limit: int | None = None, most: int = MOST_MAPS) -> DataFrame:
-    """(ord, url): pages of all sitemaps reachable from the seeds, as a last-in-first-out walk finds them.
+    """(ord, url): pages of all sitemaps reachable from the seeds, in the order of a last-in-first-out walk.
 
     documents holds fetched sitemaps (url, body); a missing one counts as a failure. The walk's order is a property of
     at most ``most`` maps, so the driver follows names of maps alone (one small row each); pages never leave the
@@ -58,11 +58,9 @@ def collect_urls(documents: DataFrame, seed_urls: list[str], base_host: str, mat
     names = spark.createDataFrame([(u, k) for k, u in enumerate(order)], "url string, map_ix int")
     pages = parsed.join(F.broadcast(names), "url").select("map_ix", F.posexplode("urls").alias("pos", "page"))
     pages = pages.withColumn("url", url_normalise("page")).where("url IS NOT NULL")
-    pages = filter_same_site(pages, base_host, match).select("url", F.struct("map_ix", "pos").alias("ord"))
-    first = keep_first(pages)
-    if limit is not None:
-        first = first.orderBy("ord").limit(limit)
-    return first.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ord")).cast("long").alias("ord"), "url") if limit is not None else first.select(F.col("ord.map_ix").alias("map_ix"), F.col("ord.pos").alias("pos"), "url")
+    place = F.col("map_ix").cast("long") * (1 << 40) + F.col("pos")
+    first = keep_first(filter_same_site(pages, base_host, match).select("url", place.alias("ord"))).select("ord", "url")
+    return first if limit is None else first.orderBy("ord").limit(limit)
 
 
 def llms_full_text(candidates: DataFrame) -> DataFrame:
