@@ -267,11 +267,11 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest doc_id; of rows that repeat it, one."""
-    columns, fp = docs.columns, unused("fp", docs.columns)
-    marked = write_table(fingerprints(docs, keep=tuple(columns), name=fp), "fingerprints")
-    labels = classes_of(marked.select("doc_id", F.col(fp).alias("fp"))).select(F.col("fp").alias(fp), F.struct("component", "component_id").alias(unused("class", columns)))
-    group = F.col(unused("class", columns))
-    first = marked.join(labels, fp).where(F.col("doc_id").eqNullSafe(group["component_id"]))
-    part = unused("part", columns)
-    return first.withColumn(part, group["component"]).dropDuplicates([part]).select(*columns)
+    """One document of each near-duplicate group stays: the one with the smallest doc_id, one without a doc_id only if
+    none has any; of rows that tie, one. Texts cross the network once, by row number, so no hot group gathers them."""
+    columns, fp, row = docs.columns, unused("fp", docs.columns), unused("row", docs.columns)
+    marked = write_table(fingerprints(docs, keep=tuple(columns), name=fp).withColumn(row, F.monotonically_increasing_id()), "fingerprints")
+    light = marked.select("doc_id", F.col(fp).alias("fp"), F.col(row).alias("row"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"]
+    kept = light.join(classes_of(light), "fp").groupBy("component").agg(first.alias(row)).select(row)
+    return marked.join(kept, row, "left_semi").select(*columns)
