@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +40,17 @@ STARTS = np.array([x for x, _ in SCRIPTS], np.uint32)
 NAMES = sorted({x for _, x in SCRIPTS})
 SCRIPT_AT = np.array([NAMES.index(x) for _, x in SCRIPTS])
 WORD = re.compile(r"[^\W\d_]+")
-#: Words that a Python worker scores at a time, and scored words that it keeps.
+#: Words that a task scores at a time, and scored words that it keeps.
 CHUNK, KEPT = 200_000, 300_000
 #: Scale of a word's evidence, cost of a change of language, and share of a language's words that shows it uses a script.
 SCALE, PENALTY, SCRIPT_SHARE = 0.3, 12.0, 0.005
 
 
 def words_of(text: str | None) -> list[str]:
-    return [w for w in WORD.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))] if text else []
+    words = WORD.findall(text.lower()) if text else []
+    if text and not text.isascii():  # beyond ASCII the pattern also finds signs such as a raised 2
+        words = [w for w in words if w.isalpha() or any(map(str.isalpha, w))]
+    return words
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,6 +197,25 @@ def _label(scores: np.ndarray, model: Model, penalty: float) -> tuple[str, float
     return model.langs[best], float(min(1.0, chance * votes[best] / known.sum())), spans
 
 
+class Known:
+    """Words that a task has scored: their numbers, and the scores by number."""
+
+    def __init__(self, model: Model):
+        self.model, self.number, self.table = model, {}, np.zeros((0, len(model.langs)), np.float32)
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        if len(self.number) > KEPT:
+            self.number.clear()
+        number = self.number
+        if new := list(dict.fromkeys(filterfalse(number.__contains__, words))):
+            first = len(number)
+            number.update(zip(new, range(first, first + len(new))))
+            if len(number) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros((max(len(number) - len(self.table), len(self.table), 1024), self.table.shape[1]), np.float32)])
+            self.table[first : len(number)] = self.model.score(new)
+        return self.table[np.fromiter(map(number.__getitem__, words), np.int64, len(words))]
+
+
 def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: bool = True, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, ...] = ("lang_pred", "score", "spans")) -> DataFrame:
     """docs (text, ...) -> keep's columns and (lang_pred, score[, spans]), one row per row, from the text alone.
 
@@ -208,23 +231,15 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: boo
     names = names[: 2 + spans]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, number = shared.value, {}
-        table = np.zeros((0, len(model.langs)), np.float32)
+        model = shared.value
+        known = Known(model)
         for batch in batches:
             found = []
             for text in batch.column(batch.num_columns - 1):
                 words = words_of(text.as_py())
                 rows = []
                 for at in range(0, len(words) if model.langs else 0, CHUNK):
-                    part = words[at : at + CHUNK]
-                    if len(number) > KEPT:
-                        number, table = {}, table[:0]
-                    if new := [w for w in dict.fromkeys(part) if w not in number]:
-                        number.update(zip(new, range(len(number), len(number) + len(new))))
-                        if len(number) > len(table):
-                            table = np.concatenate([table, np.zeros((max(len(new), len(table), 1024), table.shape[1]), np.float32)])
-                        table[len(number) - len(new) : len(number)] = model.score(new)
-                    rows.append(table[np.fromiter(map(number.__getitem__, part), np.int64, len(part))])
+                    rows.append(known.scores(words[at : at + CHUNK]))
                 found.append(_label(np.concatenate(rows), model, penalty) if rows else ("und", 0.0, []))
             columns = [*batch.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             if spans:
