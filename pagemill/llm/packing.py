@@ -6,7 +6,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import documents
+from pagemill.llm.common import documents, worker_cache
 
 #: Words whose ids a generation of a Python worker's cache keeps, the longest it keeps, and characters of a text that it splits at a time.
-KEPT, LONGEST, SLICE = 600_000, 40, 1 << 20
+KEPT, LONGEST, SLICE = 450_000, 40, 1 << 20
 
 
 def decompose(n: int, context: int) -> list[tuple[int, int]]:
@@ -90,12 +89,6 @@ class WordEncoder:
         return ids
 
 
-@lru_cache(maxsize=2)
-def encoder_of(path: str, end: int) -> WordEncoder:
-    """One encoder for all tasks of a Python worker, whose known words it keeps."""
-    return WordEncoder(path, end)
-
-
 def pack(docs: DataFrame, tokenizer: str, context: int = 2048, end: int = 1, ids: bool = True) -> DataFrame:
     """docs (doc_id, text, ...) -> one row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset[, ids array<int>]).
@@ -115,7 +108,7 @@ def pack(docs: DataFrame, tokenizer: str, context: int = 2048, end: int = 1, ids
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = encoder_of(tokenizer, end), TaskContext.get().partitionId() << 32
+        encoder, part = worker_cache((tokenizer, end), lambda: WordEncoder(tokenizer, end)), TaskContext.get().partitionId() << 32
         counts = [(k << 56) + part for k in range(context.bit_length())]
         for batch in batches:
             at, rows, content, size = [], [], [], 0
