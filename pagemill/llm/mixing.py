@@ -19,8 +19,13 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import SPACE, documents, unused, word_count, write_table
 
-#: Permuted blocks per source, and sub-blocks by which the one block that a target cuts is refined.
-BLOCKS, SUBS = 256, 4096
+#: Permuted blocks of a source (as powers of two) and output shards: bounds, and about how many words one holds between
+#: them, so that both grow with the corpus. SUB_BITS: sub-blocks by which the one block that a target cuts is refined.
+BLOCK_BITS, BLOCK_WORDS = (8, 16), 1 << 20
+SHARDS, SHARD_WORDS = (64, 1 << 18), 1 << 24
+SUB_BITS = 12
+#: Rows of blocks up to which their table is broadcast by hand (some 50 bytes each); beyond, Spark picks the join.
+BROADCAST_ROWS = 100_000
 
 
 def targets(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
@@ -52,12 +57,13 @@ def split_tree(counts: np.ndarray, shards: int, rng: np.random.Generator) -> np.
 
 @dataclass(frozen=True)
 class Plan:
-    """sources: one row each; blocks: one row per source and block. Both grow with the number of sources alone."""
+    """sources: one row each; blocks: one row per source and block, 65,536 of a source at most; bits: a block's bits of
+    the row hash."""
 
     sources: DataFrame
     blocks: DataFrame
     shards: int
-    seed: int
+    bits: int
 
 
 def row_hash(docs: DataFrame, seed: int) -> Column:
@@ -67,17 +73,28 @@ def row_hash(docs: DataFrame, seed: int) -> Column:
 
 
 def with_size(docs: DataFrame, seed: int) -> DataFrame:
-    """Adds the working columns _size, _h, _block and _sub."""
-    return docs.withColumns({"_size": word_count(F.col("text")), "_h": row_hash(docs, seed)}).withColumns({"_block": F.shiftrightunsigned("_h", 56).cast("int"), "_sub": F.shiftrightunsigned("_h", 44).bitwiseAND(F.lit(SUBS - 1)).cast("int")})
+    """Adds the working columns _size and _h."""
+    return docs.withColumns({"_size": word_count(F.col("text")), "_h": row_hash(docs, seed)})
 
 
-def make_plan(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: int = 3, shards: int = 64, seed: int = 20) -> Plan:
-    """From sized (source, _size, _h, _block, _sub). Reads it twice; the driver holds one row per source and block."""
+def with_block(sized: DataFrame, bits: int) -> DataFrame:
+    """Adds _block and _sub, the leading bits of the row hash."""
+    sub = F.shiftrightunsigned("_h", 64 - bits - SUB_BITS).bitwiseAND(F.lit((1 << SUB_BITS) - 1))
+    return sized.withColumns({"_block": F.shiftrightunsigned("_h", 64 - bits).cast("int"), "_sub": sub.cast("int")})
+
+
+def make_plan(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: int = 3, shards: int | None = None, seed: int = 20) -> Plan:
+    """From sized (source, _size, _h). Reads it three times; the driver holds one row per source and block."""
     spark = sized.sparkSession
+    whole_of = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("_size").alias("n")).collect()}
+    names = sorted(whole_of, key=lambda s: (s is None, s or ""))
+    words = sum(whole_of.values())
+    bits = int(np.clip((words // (BLOCK_WORDS * max(len(names), 1))).bit_length(), *BLOCK_BITS))
+    shards, n_blocks = shards or int(np.clip(words // SHARD_WORDS, *SHARDS)), 1 << bits
+    sized = with_block(sized, bits)
     per_block = sized.groupBy("source", "_block").agg(F.sum("_size").alias("n")).collect()
-    names = sorted({r["source"] for r in per_block}, key=lambda s: (s is None, s or ""))
-    table = np.zeros((len(names), BLOCKS), np.int64)
-    there = np.zeros((len(names), BLOCKS), bool)
+    table = np.zeros((len(names), n_blocks), np.int64)
+    there = np.zeros((len(names), n_blocks), bool)
     at = {s: k for k, s in enumerate(names)}
     for r in per_block:
         table[at[r["source"]], r["_block"]] = r["n"]
@@ -88,10 +105,10 @@ def make_plan(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: f
     epochs = [min(most, int(g // n)) if n else 0 for g, n in zip(goal, sizes)]
     rest = [int(round(g - e * n)) for g, e, n in zip(goal, epochs, sizes)]
     rng = [np.random.default_rng([seed, zlib.crc32(repr(s).encode("utf-8", "surrogatepass"))]) for s in names]
-    state = np.zeros((len(names), BLOCKS), np.int8)  # of the last, partial epoch: 0 not drawn, 1 whole, 2 cut
+    state = np.zeros((len(names), n_blocks), np.int8)  # of the last, partial epoch: 0 not drawn, 1 whole, 2 cut
     cut: dict[int, tuple[int, int]] = {}
     for k in range(len(names)):
-        order = rng[k].permutation(BLOCKS)
+        order = rng[k].permutation(n_blocks)
         sums = np.cumsum(table[k][order])
         whole = int(np.searchsorted(sums, rest[k], side="right"))
         state[k][order[:whole]] = 1
@@ -102,7 +119,7 @@ def make_plan(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: f
     subs: dict[int, tuple[int, int]] = {}
     if cut:
         marks = _small(spark, {"source": (pa.string(), [names[k] for k in cut]), "_block": (pa.int32(), [b for b, _ in cut.values()])})
-        found: dict[int, np.ndarray] = {k: np.zeros(SUBS, np.int64) for k in cut}
+        found: dict[int, np.ndarray] = {k: np.zeros(1 << SUB_BITS, np.int64) for k in cut}
         joined = sized.join(F.broadcast(marks), sized["source"].eqNullSafe(marks["source"]) & (sized["_block"] == marks["_block"]), "left_semi")
         for r in joined.groupBy("source", "_sub").agg(F.sum("_size").alias("n")).collect():
             found[at[r["source"]]][r["_sub"]] = r["n"]
@@ -119,10 +136,10 @@ def make_plan(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: f
         for j, shard in zip(rng[k].permutation(len(own)), placed):
             e, b = own[j]
             shard_of.setdefault((k, int(b)), {})[e] = int(shard)
-    cells = [(k, b) for k in range(len(names)) for b in range(BLOCKS) if there[k, b]]
+    cells = [(int(k), int(b)) for k, b in zip(*np.nonzero(there))]
     sources = _small(spark, {"source": (pa.string(), names), "_sid": (pa.int32(), range(len(names))), "source_size": (pa.int64(), sizes), "target": (pa.float64(), goal), "_epochs": (pa.int32(), epochs), "_cut_sub": (pa.int32(), [subs.get(k, (-1, 0))[0] for k in range(len(names))]), "_left": (pa.int64(), [subs.get(k, (-1, 0))[1] for k in range(len(names))])})
     blocks = _small(spark, {"_sid": (pa.int32(), [k for k, _ in cells]), "_block": (pa.int32(), [b for _, b in cells]), "_state": (pa.int32(), [int(state[k, b]) for k, b in cells]), "_shards": (pa.list_(pa.int32()), [[shard_of[k, b][e] for e in range(epochs[k])] for k, b in cells]), "_last_shard": (pa.int32(), [shard_of.get((k, b), {}).get(epochs[k]) for k, b in cells])})
-    return Plan(sources, blocks, shards, seed)
+    return Plan(sources, blocks if len(cells) > BROADCAST_ROWS else F.broadcast(blocks), shards, bits)
 
 
 def _small(spark, columns: dict) -> DataFrame:
@@ -135,7 +152,8 @@ def apply_plan(sized: DataFrame, plan: Plan) -> DataFrame:
     Only the rows of one sub-block per source, about one in a million of its rows, meet in a window.
     """
     s, b = plan.sources.withColumnRenamed("source", "_source"), plan.blocks
-    rows = sized.join(F.broadcast(s), sized["source"].eqNullSafe(s["_source"])).drop("_source").join(F.broadcast(b), ["_sid", "_block"])
+    sized = with_block(sized, plan.bits)
+    rows = sized.join(F.broadcast(s), sized["source"].eqNullSafe(s["_source"])).drop("_source").join(b, ["_sid", "_block"])
     edge = (F.col("_state") == 2) & (F.col("_sub") == F.col("_cut_sub"))
     whole = (F.col("_state") == 1) | ((F.col("_state") == 2) & (F.col("_sub") < F.col("_cut_sub")))
     plain = rows.where(~edge).withColumn("_part", F.when(whole, F.col("_size")).otherwise(F.lit(0)).cast("long"))
@@ -163,13 +181,14 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """docs' columns, then _shard and _order: one row for each copy that the mix takes, texts cut where a copy is partial.
 
-    Sort by _order within _shard for the locally shuffled stream of each output shard.
+    Each output shard is one partition, shuffled locally by the keyed _order; shards grow in number with the corpus.
     """
     seed, columns, kinds = options.get("seed", 20), docs.columns, dict(docs.dtypes)
     rest = [c for c in columns if c not in ("doc_id", "text", "source")]
     docs = docs.select("doc_id", "text", "source", F.struct(*rest, F.lit(0).alias(unused("row", rest))).alias("_rest"))  # names can't clash
-    sized = write_table(with_size(docs, seed).select("doc_id", "source", "_size", "_h", "_block", "_sub"), "mix-sizes")
-    rows = apply_plan(with_size(docs, seed), make_plan(sized, **options)).where("taken > 0")
+    sized = write_table(with_size(docs, seed).select("doc_id", "source", "_size", "_h"), "mix-sizes")
+    plan = make_plan(sized, **options)
+    rows = apply_plan(with_size(docs, seed), plan).where("taken > 0")
     copies = rows.select("doc_id", "text", "source", "_rest", "_size", "_part", "_epochs", "_h", F.posexplode("shards").alias("_copy", "_shard"))
     short = (F.col("_copy") == F.col("_epochs")) & (F.col("_part") < F.col("_size"))
     words = F.regexp_extract_all("text", F.lit(rf"[{SPACE}]*[^{SPACE}]+"), F.lit(0))
@@ -178,7 +197,8 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     whole = {c: F.col("_rest")[c] for c in rest} | {c: F.col(c) for c in ("doc_id", "text", "source")}
     if "n_chars" in rest:
         whole["n_chars"] = F.when(F.col("_short"), F.length("text").cast(kinds["n_chars"])).otherwise(whole["n_chars"])
-    return copies.select(*[whole[c].alias(c) for c in columns], F.col("_to").alias(unused("_shard", columns)), F.col("_order").alias(unused("_order", columns)))
+    out = copies.select(*[whole[c].alias(c) for c in columns], F.col("_to").alias(unused("_shard", columns)), F.col("_order").alias(unused("_order", columns)))
+    return out.repartitionById(plan.shards, out.columns[-2]).sortWithinPartitions(out.columns[-1])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -187,6 +207,4 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed corpus: a document that is taken twice is there twice, one that isn't taken goes."""
-    rows = mixed_rows(docs)
-    shard, order = rows.columns[-2:]
-    return rows.repartition(shard).sortWithinPartitions(shard, order).select(*docs.columns)
+    return mixed_rows(docs).select(*docs.columns)
