@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill import scratch
 from pagemill.functions import expressions as E
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parsed_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows go through parsers."""
+    return scratch.spread(table(spark, sf_dir, name))
+
+
 # Pieces of SQL that several oracles use; {x} is the text.
 SQL_TAGS = r"regexp_replace({x}, '(?s)<[^>]*(>|\z)|>', '', 'g')"
 SQL_TITLE = "coalesce(" + ", ".join(

@@ -9,7 +9,7 @@ from pagemill.functions import udfs
 from pagemill.operators import pages as P
 from pagemill.operators.corpus import numbered
 from pagemill.options import Options
-from pagemill.plans.common import SQL_FILE, SQL_HOST, SQL_HREFS, SQL_PATH, SQL_SLUG, SQL_TAGS, SQL_TITLE, SQL_TOKENS, plan, table
+from pagemill.plans.common import SQL_FILE, SQL_HOST, SQL_HREFS, SQL_PATH, SQL_SLUG, SQL_TAGS, SQL_TITLE, SQL_TOKENS, parsed_table, plan, table
 
 
 @plan("page_summary", f"SELECT page_id, url, {SQL_TITLE.format(x='html')} AS title, {SQL_TOKENS.format(x=SQL_TAGS.format(x='html'))} AS tokens, len({SQL_HREFS})::BIGINT AS n_links FROM pages")
@@ -47,13 +47,13 @@ def page_links_raw(spark, d):
 FROM (SELECT page_id, url, {SQL_HREFS} AS l FROM pages)""")
 def page_links_resolved(spark, d):
     joined = udfs.url_join_all(F.col("url"), E.hrefs(F.col("html")))
-    return table(spark, d, "pages").select("page_id", F.posexplode(joined).alias("pos", "link"))
+    return parsed_table(spark, d, "pages").select("page_id", F.posexplode(joined).alias("pos", "link"))
 
 
 @plan("strip_chrome", "SELECT page_id, md5(regexp_replace(html, '(?is)<(nav|footer|aside|form|style|script|noscript|button)\\b[^>]*>.*?</(nav|footer|aside|form|style|script|noscript|button)>', '', 'g')) AS digest FROM pages")
 def strip_chrome(spark, d):
     """The whole operator; on pages without nested chrome it equals the regular expression."""
-    return table(spark, d, "pages").select("page_id", F.md5(udfs.html_strip_chrome("html")).alias("digest"))
+    return parsed_table(spark, d, "pages").select("page_id", F.md5(udfs.html_strip_chrome("html")).alias("digest"))
 
 
 @plan("strip_chrome_simple", "SELECT page_id, md5(regexp_replace(html, '(?is)<(button|nav|footer|aside|form|style|script|noscript)\\b[^>]*>.*?</(nav|footer|aside|form|style|script|noscript|button)>', '', 'g')) AS digest FROM pages")
@@ -63,7 +63,7 @@ def strip_chrome_simple(spark, d):
 
 @plan("css_scope", """SELECT page_id, replace(replace(string_agg(h, chr(10) ORDER BY k), '&quot;', '"'), '&copy;', '©') AS scoped FROM (SELECT page_id, generate_subscripts(l, 1) AS k, unnest(l) AS h FROM (SELECT page_id, regexp_extract_all(html, '(?s)<h1>.*?</h1>') AS l FROM pages)) GROUP BY page_id""")
 def css_scope(spark, d):
-    return table(spark, d, "pages").select("page_id", udfs.html_scope("html", F.lit("article > h1")).alias("scoped")).where("scoped IS NOT NULL")
+    return parsed_table(spark, d, "pages").select("page_id", udfs.html_scope("html", F.lit("article > h1")).alias("scoped")).where("scoped IS NOT NULL")
 
 
 @plan("slug_filename", f"SELECT page_id, {SQL_SLUG.format(x='url')} AS slug, {SQL_FILE.format(x='url')} AS file FROM (SELECT page_id, url, row_number() OVER (ORDER BY page_id) AS ix, count(*) OVER () AS total FROM pages)")
@@ -118,22 +118,22 @@ def charset_decode(spark, d):
 
 @plan("html_to_markdown")
 def html_to_markdown(spark, d):
-    return table(spark, d, "pages").select("page_id", udfs.html_to_md("html", F.lit(False), F.lit(False)).alias("markdown"))
+    return parsed_table(spark, d, "pages").select("page_id", udfs.html_to_md("html", F.lit(False), F.lit(False)).alias("markdown"))
 
 
 @plan("prune")
 def prune(spark, d):
-    return table(spark, d, "pages").select("page_id", udfs.html_prune("html").alias("content"))
+    return parsed_table(spark, d, "pages").select("page_id", udfs.html_prune("html").alias("content"))
 
 
 @plan("pages_to_markdown")
 def pages_to_markdown(spark, d):
-    return P.good_pages(P.transform_pages(P.raw_pages(table(spark, d, "pages"))))
+    return P.good_pages(P.transform_pages(P.raw_pages(parsed_table(spark, d, "pages"))))
 
 
 @plan("pages_pruned_with_citations")
 def pages_pruned_with_citations(spark, d):
-    return P.good_pages(P.transform_pages(P.raw_pages(table(spark, d, "pages")), Options(prune=True, refs=True)))
+    return P.good_pages(P.transform_pages(P.raw_pages(parsed_table(spark, d, "pages")), Options(prune=True, refs=True)))
 
 
 CODE = {0: "def f(x):\\n    return x\\n", 1: "const f = (x) => x;\\nconsole.log(f(1));\\n", 2: "SELECT a FROM t WHERE b = 1;\\n", 3: "npm i thing", 4: "just words here"}

@@ -19,6 +19,13 @@ def folder(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/pagemill/{label}-{uuid.uuid4().hex}"
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores, as of one small file, dealt out for work that the CPU bounds; others as they
+    are. Large tables have more splits than cores and aren't shuffled."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """df written and read again: its lineage ends there."""
     path = folder(df.sparkSession, label)
