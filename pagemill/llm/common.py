@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.scratch import spread
+
 #: ASCII white space as the contracts define it.
 SPACE = r"\x20\x09-\x0D"
 
@@ -56,11 +58,6 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
-def lower_ascii(text: Column) -> Column:
-    """A-Z to a-z, every other character as it is."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def word_count(text: Column) -> Column:
     """Number of runs of characters that are no ASCII white space, null as 0; no array of words is built."""
     marks = F.regexp_replace(text, rf"[{SPACE}]*[^{SPACE}]+", "x")
@@ -90,4 +87,5 @@ def worker_cache(key, make):
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The table documents; a file with fewer splits than cores is dealt out, larger tables aren't shuffled."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
