@@ -61,7 +61,7 @@ def strip_chrome_simple(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(E.strip_chrome_simple(F.col("html"))).alias("digest"))
 
 
-@plan("css_scope", """SELECT page_id, replace(replace(string_agg(h, chr(10) ORDER BY k), '&quot;', '"'), '&copy;', '©') AS scoped FROM (SELECT page_id, generate_subscripts(l, 1) AS k, unnest(l) AS h FROM (SELECT page_id, regexp_extract_all(html, '(?s)<h1>.*?</h1>') AS l FROM pages)) GROUP BY page_id""")
+@plan("css_scope", """SELECT page_id, replace(replace(replace(replace(replace(string_agg(h, chr(10) ORDER BY k), '&quot;', '"'), '&copy;', '©'), '&amp;', '&'), '&amp', '&'), '&', '&amp;') AS scoped FROM (SELECT page_id, generate_subscripts(l, 1) AS k, unnest(l) AS h FROM (SELECT page_id, regexp_extract_all(html, '(?s)<h1>.*?</h1>') AS l FROM pages)) GROUP BY page_id""")
 def css_scope(spark, d):
     return parsed_table(spark, d, "pages").select("page_id", udfs.html_scope("html", F.lit("article > h1")).alias("scoped")).where("scoped IS NOT NULL")
 
