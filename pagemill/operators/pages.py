@@ -60,7 +60,8 @@ def _body(options: Options):
             out.append(row)
         return pa.array(out, BODY)
 
-    return run
+    # Filters on what it returns would else be pushed below the projection, and each document be parsed twice.
+    return run.asNondeterministic()
 
 
 def raw_pages(pages: DataFrame) -> DataFrame:

@@ -61,8 +61,8 @@ def test_page_errors(spark):
 
 def test_pipeline_stays_one_projection(spark, sf_dir):
     df = pages.transform_pages(pages.raw_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")))
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and plan.count("ArrowEvalPython") <= 2
+    plan = pages.good_pages(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") <= 2 and plan.count("run(html") == 1
 
 
 def test_relational_blocks_equal_row_wise(spark):
