@@ -31,6 +31,8 @@ SYLLABLES = {"Latin": "ba be bo da de do fa fe fi ga ge ka ke ki la le lo ma me
 EDGE, STOP = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 _names = "|".join(sorted((n for v in GIVEN.values() for n in v), key=lambda n: (-len(n), n)))
 _titles = "|".join(sorted((t for v in TITLES.values() for t in v), key=lambda t: (-len(t), t)))
+#: Names that a secret stands after, in any case; they may end a longer name, after an underscore.
+SECRET_KEY = r"(?i:token|secret|password|passwd|api_key|apikey|access_key|private_key)\s{0,2}[:=]"
 #: What each kind looks like; in a text the first kind that matches at a place wins.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,61}[\p{L}\p{N}])?\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}])",
@@ -39,7 +41,7 @@ KINDS = {
     "card": r"(?<![\p{L}\p{N}_.+-])[0-9](?:[ -]?[0-9]){12,18}(?![\p{L}\p{N}_]|[.-][0-9])",
     "ssn": r"(?<![\p{L}\p{N}_.+-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}_-])",
     "phone": r"(?<![\p{L}\p{N}_.])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![\p{L}\p{N}_]|[.-][0-9])",
-    "secret": rf"{EDGE}(?:token|secret|password|passwd|api_key|apikey|access_key|private_key)\s{{0,2}}[:=]\s{{0,2}}(?:[\"'][A-Za-z0-9+/_=.-]{{8,128}}(?=[\"'])|(?=[A-Za-z+/_-]{{0,127}}[0-9])[A-Za-z0-9+/_-]{{12,128}}{STOP})",
+    "secret": rf"(?<![\p{{L}}\p{{N}}]){SECRET_KEY}\s{{0,2}}(?:[\"'][A-Za-z0-9+/_=.-]{{8,128}}(?=[\"'])|(?=[A-Za-z+/_-]{{0,127}}[0-9])[A-Za-z0-9+/_-]{{12,128}}{STOP})",
     "credential": rf"{EDGE}(?:AKIA[0-9A-Z]{{16}}|ghp_[A-Za-z0-9]{{36}}|sk-[A-Za-z0-9]{{20,64}}){STOP}",
     "name": rf"{EDGE}(?:(?:{_titles})\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}})?|(?:{_names}) \p{{Lu}}\p{{Ll}}{{1,30}}){STOP}",
 }
@@ -68,7 +70,7 @@ def _luhn(digits: Column) -> Column:
 
 def entity_kind(entity: Column) -> Column:
     """The kind of a found entity, or null where its check digits say that it is none."""
-    marks = {"secret": r"\A[a-z_]+\s{0,2}[:=]", "credential": r"\A(?:AKIA|ghp_|sk-)"}
+    marks = {"secret": rf"\A{SECRET_KEY}", "credential": r"\A(?:AKIA|ghp_|sk-)"}
     whole = F.coalesce(*[F.when(entity.rlike(marks.get(kind, rf"\A(?:{pattern})\z")), F.lit(kind)) for kind, pattern in KINDS.items()])
     return F.when((whole == "card") & (_luhn(_digits(entity)) % 10 != 0), F.lit(None)).otherwise(whole)
 
@@ -146,11 +148,11 @@ def surrogate(entity: Column, kind: Column, draw: Column, key: str) -> Column:
     ipv6 = F.array_join(F.transform(F.split(entity, ":"), lambda g, i: F.substring(F.lpad(F.lower(F.hex(_byte(stream, 2 * i).cast("long"))), 4, "1"), F.lit(1), F.length(g))), ":")
     country = F.regexp_extract(entity, r"\A\+[0-9]{1,3}(?=[ .(-])", 0)
     phone = F.concat(country, F.substr(swapped, F.length(country) + 1))
-    prefix = F.regexp_extract(entity, r"\A(?:AKIA|ghp_|sk-|[a-z_]+\s{0,2}[:=]\s{0,2}[\"']?)", 0)
+    prefix = F.regexp_extract(entity, rf"\A(?:AKIA|ghp_|sk-|{SECRET_KEY}\s{{0,2}}[\"']?)", 0)
     value = F.substr(entity, F.length(prefix) + 1)
     own = _stream(key, value, draw)  # a secret has one surrogate under any name
     hexes = F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c, i: F.lower(F.hex((_byte(own, i) % 16).cast("long")))), "")
-    secret = F.concat(prefix, F.when(value.rlike(r"\A[0-9a-f]+\z"), hexes).otherwise(_swap(value, own)))
+    secret = F.concat(prefix, F.when(value.rlike(r"\A[0-9a-f]+\z"), hexes).when(value.rlike(r"\A[0-9A-F]+\z"), F.upper(hexes)).otherwise(_swap(value, own)))
     return (
         F.when(kind == "email", F.concat(_swap(F.substring_index(entity, "@", 1), stream), F.lit("@"), host))
         .when(kind == "card", card).when(kind == "ip", ip).when(kind == "ipv6", ipv6).when(kind == "phone", phone)

@@ -106,3 +106,17 @@ def test_light_pattern_is_the_whole_one_without_marks(spark):
     df = spark.createDataFrame(rows, "t string")
     got = df.select(F.regexp_extract_all("t", F.lit(P.ENTITY), F.lit(0)).alias("a"), F.regexp_extract_all("t", F.lit(P.LIGHT), F.lit(0)).alias("b")).collect()
     assert all(r["a"] == r["b"] for r in got)
+
+
+def test_secrets_after_key_names_of_any_case(spark):
+    value = "9233A8EC59b79a44"
+    names = ["TOKEN", "Password", "API_KEY", "apiKey", "AWS_SECRET_ACCESS_KEY", "DB2_PASSWORD", "github_token", "_secret"]
+    texts = [f"{n}{mark}{value}{end}" for n in names for mark, end in ((' = "', '" x'), ("=", " x"), (": '", "'"))]
+    out = run(spark, texts)
+    assert all(value not in after for after in out)
+    new = {re.search(r"[0-9A-Za-z]{16}", after)[0] for after in out}
+    assert len(new) == 1 and out == [t.replace(value, *new) for t in texts]  # one surrogate under any name; the rest stays
+    upper = run(spark, ['TOKEN = "9233A8EC44C41183160F"'])[0]
+    assert re.fullmatch(r'TOKEN = "[0-9A-F]{20}"', upper) and "9233A8EC" not in upper
+    clean = ["TOKEN: NONE", "PASSWORD=UNSET", "MYTOKEN=abcdefgh12345678", "Tokens: abcdefgh12345678"]
+    assert run(spark, clean) == clean
