@@ -33,14 +33,17 @@ _names = "|".join(sorted((n for v in GIVEN.values() for n in v), key=lambda n: (
 _titles = "|".join(sorted((t for v in TITLES.values() for t in v), key=lambda t: (-len(t), t)))
 #: Names that a secret stands after, in any case; they may end a longer name, after an underscore.
 SECRET_KEY = r"(?i:token|secret|password|passwd|api_key|apikey|access_key|private_key)\s{0,2}[:=]"
-#: What each kind looks like; in a text the first kind that matches at a place wins.
+#: Digits between blanks, of which cards are made; social-security and phone numbers are none.
+_unit = r"[0-9]++(?:-[0-9]++)*+(?![\p{L}\p{N}_]|[.-][0-9])(?<!(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4})(?<!(?<![0-9])[0-9]{3}-[0-9]{3}-[0-9]{4})"
+#: What each kind looks like; in a text the first kind that matches at a place wins. A card's pattern takes the whole run
+#: of numbers that it may stand in; parts() cuts it out.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,61}[\p{L}\p{N}])?\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}])",
     "ipv6": r"(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])",
     "ip": r"(?<![\p{L}\p{N}_.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![\p{L}\p{N}_]|\.[0-9])",
-    "card": r"(?<![\p{L}\p{N}_.+-])[0-9](?:[ -]?[0-9]){12,18}(?![\p{L}\p{N}_]|[.-][0-9])",
     "ssn": r"(?<![\p{L}\p{N}_.+-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}_-])",
     "phone": r"(?<![\p{L}\p{N}_.])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![\p{L}\p{N}_]|[.-][0-9])",
+    "card": rf"(?<![\p{{L}}\p{{N}}_.+-])(?=[0-9](?:[ -]?[0-9]){{12}}){_unit}(?: {_unit})*+",
     "secret": rf"(?<![\p{{L}}\p{{N}}]){SECRET_KEY}\s{{0,2}}(?:[\"'][A-Za-z0-9+/_=.-]{{8,128}}(?=[\"'])|(?=[A-Za-z+/_-]{{0,127}}[0-9])[A-Za-z0-9+/_-]{{12,128}}{STOP})",
     "credential": rf"{EDGE}(?:AKIA[0-9A-Z]{{16}}|ghp_[A-Za-z0-9]{{36}}|sk-[A-Za-z0-9]{{20,64}}){STOP}",
     "name": rf"{EDGE}(?:(?:{_titles})\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}})?|(?:{_names}) \p{{Lu}}\p{{Ll}}{{1,30}}){STOP}",
@@ -68,11 +71,38 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(reverse, part), F.lit(0), lambda a, x: a + x)
 
 
+def _is_card(digits: Column) -> Column:
+    return F.when(F.length(digits).between(13, 19), _luhn(digits) % 10 == 0).otherwise(F.lit(False))
+
+
+def parts(found: Column) -> Column:
+    """What the patterns found, cut where it is a run of numbers: its cards, and what lies between them.
+
+    A card is whole numbers in a row with 13 to 19 digits and a right check digit: from left to right, the longest first.
+    Each number is marked with how many make up the card that starts there (0 for none), so one regular expression
+    cuts runs of any length.
+    """
+
+    def mark(numbers: Column) -> Column:
+        def one(number: Column, i: Column) -> Column:
+            card = lambda n: _is_card(_digits(F.array_join(F.slice(numbers, i + 1, n), "")))
+            most = F.array_max(F.filter(F.sequence(F.lit(1), F.least(F.lit(19), F.size(numbers) - i)), card))
+            return F.concat(F.lit("\x01"), F.substring(F.lit("0123456789abcdefghij"), F.coalesce(most, F.lit(0)) + 1, F.lit(1)), number)
+
+        return F.array_join(F.transform(numbers, one), " ")
+
+    marked = F.transform(F.array(F.split(found, " ")), mark)[0]
+    number = r"\x01[0-9a-j][0-9-]++"
+    card = "|".join(rf"\x01{c}[0-9-]++(?: {number}){{{n}}}" for n, c in enumerate("123456789abcdefghij"))
+    cut = F.regexp_extract_all(marked, F.lit(rf"{card}|(?: ?\x010[0-9-]++)++| "), F.lit(0))
+    return F.when(found.rlike(r"\A[0-9][0-9 -]{12,}\z"), F.transform(cut, lambda c: F.regexp_replace(c, r"\x01.", ""))).otherwise(F.array(found))
+
+
 def entity_kind(entity: Column) -> Column:
     """The kind of a found entity, or null where its check digits say that it is none."""
     marks = {"secret": rf"\A{SECRET_KEY}", "credential": r"\A(?:AKIA|ghp_|sk-)"}
     whole = F.coalesce(*[F.when(entity.rlike(marks.get(kind, rf"\A(?:{pattern})\z")), F.lit(kind)) for kind, pattern in KINDS.items()])
-    return F.when((whole == "card") & (_luhn(_digits(entity)) % 10 != 0), F.lit(None)).otherwise(whole)
+    return F.when((whole == "card") & ~_is_card(_digits(entity)), F.lit(None)).otherwise(whole)
 
 
 def _by_text(text: str, use) -> Column:
@@ -191,7 +221,8 @@ def replace_pii(docs: DataFrame, key: str = "pagemill", count: str | None = None
     """docs (text, ...) with every detected entity in text replaced; other columns as they are, one row per row.
 
     count names an added column with the number of replaced places. Null and empty texts, and texts without entities,
-    stay as they are; texts are read whole. Numbers that look like cards but fail their check digit are left alone.
+    stay as they are; texts are read whole. Numbers that look like cards but fail their check digit are left alone; cards,
+    phone and social-security numbers that stand beside other numbers are found.
     Repeated rows get equal texts; an empty table gives an empty one. Texts with entities meet the surrogates by a
     hash of the text; hot texts and hot entities meet in joins whose sides adaptive execution splits.
     """
@@ -199,17 +230,18 @@ def replace_pii(docs: DataFrame, key: str = "pagemill", count: str | None = None
     docs = docs.select(F.struct(*rest, F.lit(0).alias(unused("row", rest))).alias("_rest"), "text")  # names can't clash
     found = _by_text("text", lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0)))
     has = F.coalesce(_by_text("text", lambda p: F.col("text").rlike(p)), F.lit(False))
-    pairs = docs.where(has).select(F.xxhash64("text").alias("_key"), F.explode(F.array_distinct(found)).alias("entity")).distinct()
+    pairs = docs.where(has).select(F.xxhash64("text").alias("_key"), F.explode(F.array_distinct(F.flatten(F.transform(found, parts)))).alias("entity")).distinct()
     pairs = write_table(pairs, "pii-pairs")
     known = dictionary(pairs.select("entity"), key)
     maps = pairs.join(known, "entity").groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("_map"))
     maps = write_table(maps, "pii-maps")
     hit = docs.where(has).withColumn("_key", F.xxhash64("text")).join(maps, "_key", "left")
     none = F.create_map().cast("map<string,string>")
-    hit = hit.withColumns({"_map": F.coalesce("_map", none), "_found": found})
-    new = F.concat(F.transform("_found", lambda e: F.coalesce(F.element_at(F.col("_map"), e), e)), F.array(F.lit("")))
+    hit = hit.withColumns({"_map": F.coalesce("_map", none), "_found": F.transform(found, parts)})
+    new = F.transform("_found", lambda p: F.array_join(F.transform(p, lambda e: F.coalesce(F.element_at(F.col("_map"), e), e)), ""))
+    new = F.concat(new, F.array(F.lit("")))
     text = F.array_join(F.zip_with(_by_text("text", lambda p: F.split("text", p, -1)), new, lambda a, b: F.concat(a, b)), "")
-    places = F.size(F.filter("_found", lambda e: F.map_contains_key(F.col("_map"), e))).cast("long")
+    places = F.size(F.filter(F.flatten("_found"), lambda e: F.map_contains_key(F.col("_map"), e))).cast("long")
     hit = hit.select("_rest", text.alias("text"), *[places.alias(name) for name in added])
     clean = docs.where(~has).select("_rest", "text", *[F.lit(0).cast("long").alias(name) for name in added])
     return hit.unionByName(clean).select(*[F.col("text") if c == "text" else F.col("_rest")[c].alias(c) for c in columns], *added)

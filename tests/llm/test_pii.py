@@ -120,3 +120,24 @@ def test_secrets_after_key_names_of_any_case(spark):
     assert re.fullmatch(r'TOKEN = "[0-9A-F]{20}"', upper) and "9233A8EC" not in upper
     clean = ["TOKEN: NONE", "PASSWORD=UNSET", "MYTOKEN=abcdefgh12345678", "Tokens: abcdefgh12345678"]
     assert run(spark, clean) == clean
+
+
+def test_numbers_beside_other_numbers(spark):
+    card, amex = "4111 1111 1111 1111", "3782 822463 10005"
+    cases = [
+        ("SSN 123-45-6789 2024", ["123-45-6789"]), ("123-45-6789 987-65-4321", ["123-45-6789", "987-65-4321"]), ("555-123-4567 123", ["555-123-4567"]), ("2024 123-45-6789", ["123-45-6789"]),
+        ("12 1-555-123-4567 2", ["555-123-4567"]), (f"{card} 12/28", [card]), (f"{card} 123", [card]), (f"order 2024 {card}", [card]), (f"{amex} 1234 x", [amex]), (f"7 {card} {amex} 99 123-45-6789 5", [card, amex, "123-45-6789"]),
+        (f"{card} 2nd", [card]), (f"{card} 12.5", [card]), ("4111111111111111 4111111111111112", ["4111111111111111"]), (" ".join(["1"] * 3000) + f" {card}", [card]),
+    ]
+    rows = [(k, t) for k, (t, _) in enumerate(cases)]
+    out = [r for r in P.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), count="n").orderBy("doc_id").collect()]
+    for (before, entities), r in list(zip(cases, out))[:-1]:
+        assert r["n"] == len(entities), (before, r)
+        rest = re.escape(before)
+        for e in entities:
+            assert e not in r["text"]
+            rest = rest.replace(re.escape(e), re.sub(r"[0-9]", "[0-9]", re.escape(e)), 1)
+        assert re.fullmatch(rest, r["text"]), (before, r["text"])
+    assert card not in out[-1]["text"] and len(out[-1]["text"]) == len(cases[-1][0])
+    clean = ["4111-1111-1111-1111-12", "x4111 1111 1111 1112 1", "1234567890123456789012345 1", "4111 1111 1111 1112 2"]
+    assert run(spark, clean) == clean
