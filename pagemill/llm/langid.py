@@ -107,6 +107,8 @@ class Model:
         got -= got.max(axis=1, keepdims=True)
         can = self.allowed[script]
         got = np.where(can, got, np.float32(-1e4))
+        if len(self.langs) == 1:  # nothing to compare: any word that it can have speaks for it
+            got[can] = -1
         got[~can.any(axis=1)] = 0
         return got.astype(np.float32)
 
@@ -268,11 +270,12 @@ def query(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-#: A document whose language has a lower score than this, as one of letters that no language uses, goes.
-LEAST_SCORE = 0.3
-
-
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: und, or a score under LEAST_SCORE."""
-    found = identify(docs, train_on_folds(docs), spans=False, keep=tuple(docs.columns), names=("_lang_pred", "_score"))
-    return found.where((F.col("_lang_pred") != "und") & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+    """Documents without a language go: und, or no word that speaks for a learned language (score 0), as of letters that
+    none uses. Mixed texts stay, however many languages they have. When nothing was learned, all texts with a letter stay.
+    """
+    model = train_on_folds(docs)
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = identify(docs, model, spans=False, keep=tuple(docs.columns), names=("_lang_pred", "_score"))
+    return found.where((F.col("_lang_pred") != "und") & (F.col("_score") > 0)).select(*docs.columns)

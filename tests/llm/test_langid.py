@@ -82,3 +82,23 @@ def test_stage_keeps_clean_documents(spark, sf_dir):
     extra = spark.createDataFrame([(90001, "!!! 12", "en", "s", 6), (90002, None, "en", "s", 0)], docs.schema)
     kept = L.stage(spark, docs.unionByName(extra), sf_dir)
     assert kept.columns == docs.columns and kept.count() == docs.count()
+
+
+def stage_ids(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    return {r["doc_id"] for r in L.stage(spark, docs, "").collect()}
+
+
+def test_stage_keeps_mixed_texts(spark, model):
+    learned = [tuple(r) for r in labelled(spark).where("doc_id < 900").collect()]
+    parts = [" ".join(np.random.default_rng(7).choice(WORDS[x].split(), 40)) for x in WORDS]
+    row = L.identify(spark.createDataFrame([(1, " ".join(parts))], "doc_id long, text string"), model).first()
+    assert [s["lang"] for s in row["spans"]] == list(WORDS) and 0 < row["score"] < 0.3  # labelled span by span
+    extra = [(1000, " ".join(parts), None), (1001, "日本語の文", None), (1002, "12 !", "en"), (1003, None, "en")]
+    assert stage_ids(spark, learned + extra) == {r[0] for r in learned} | {1000}
+
+
+def test_stage_when_one_language_or_none_was_learned(spark):
+    rows = [(k, f"the house and river {k}", "en") for k in range(30)] + [(40, "日本語の文", None), (41, "12 !", None), (42, None, None)]
+    assert stage_ids(spark, rows) == set(range(30))
+    assert stage_ids(spark, [(k, t, None) for k, t, _ in rows]) == {*range(30), 40}
