@@ -19,7 +19,7 @@ def vectors(seed=1, n=120, dim=8, noise=0.12):
     centres = rng.normal(size=(30, dim))
     rows = [(k, (centres[rng.integers(30)] + noise * rng.normal(size=dim)).astype(np.float32).tolist()) for k in range(n)]
     rows += [(n + k, rows[3][1]) for k in range(40)]  # copies
-    rows += [(n + 50, [x * 1e20 for x in rows[3][1]]), (n + 51, [x * 1e-20 for x in rows[4][1]])]  # the same directions
+    rows += [(n + 50, [float(np.float32(x * 1e20)) for x in rows[3][1]]), (n + 51, [float(np.float32(x * 1e-20)) for x in rows[4][1]])]  # the same directions
     return rows + [(8001, [1.0, 2.0]), (8002, [2.0, 4.0])] + [(5, rows[5][1])] + ODD
 
 
@@ -117,7 +117,7 @@ def brute_search(rows, queries, k):
 
 
 def test_search_with_ties_and_odd_rows(spark):
-    rows = [(v, e) for v, e in vectors() if not e or e[0] is None or not abs(e[0]) > 1e10]
+    rows = vectors()  # some are 1e20 times as long as others
     df = frame(spark, rows)
     index, books = A.build(df)
     queries = df.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding")
@@ -128,18 +128,50 @@ def test_search_with_ties_and_odd_rows(spark):
     assert empty.count() == 0 and A.search(empty, none, queries).count() == 0
 
 
+def test_long_and_short_vectors(spark):
+    """A whole table of long vectors, and one with all sizes: few are reranked, recall holds."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 32))
+    for factor in (np.full(3000, 1e20), 10.0 ** rng.integers(-3, 4, 3000)):
+        rows = [(k, (v * f).astype(np.float32).tolist()) for k, (v, f) in enumerate(zip(x, factor))]
+        df = frame(spark, rows)
+        index, books = A.build(df)
+        queries = df.where("vec_id % 100 = 0").selectExpr("vec_id AS query_id", "embedding")
+        got = {(r["query_id"], r["vec_id"]) for r in A.search(index, books, queries).collect()}
+        own = np.array([r[1] for r in rows])
+        want = set()
+        for q in range(0, 3000, 100):
+            s = own @ own[q]
+            s[q] = -np.inf
+            want |= {(q, int(v)) for v in np.argsort(-s, kind="stable")[:20]}
+        assert len(got) == len(want) == 600 and len(got & want) >= 0.97 * 600
+
+
 def test_blocks_and_recall(spark, monkeypatch):
-    monkeypatch.setattr(A, "ROWS", 512)
-    monkeypatch.setattr(A, "QUERIES", 32)
-    monkeypatch.setattr(A, "RERANK", 64)
     d = "/root/testdata/sf0.1"
     t = ds.dataset(f"{d}/embeddings.parquet").to_table().sort_by("vec_id")
     x, ids = np.array(t["embedding"].to_pylist(), float), np.array(t["vec_id"])
-    out = A.query(spark, d).toPandas().sort_values(["query_id", "rank"])
     own = ids[ids % 20 == 0]
     scores = x[ids % 20 == 0] @ x.T
     scores[np.arange(len(own)), np.searchsorted(ids, own)] = -np.inf
     best = np.argsort(-scores, axis=1, kind="stable")[:, :20]
-    found = out.groupby("query_id")["vec_id"].apply(set)
-    assert len(out) == 20 * len(own) and np.mean([len(found[q] & set(ids[b])) / 20 for q, b in zip(own, best)]) >= 0.95
-    assert (out.groupby("query_id")["rank"].apply(list).map(lambda r: r == list(range(1, 21)))).all()
+    sizes, kept = [], A.write_table
+
+    def watched(df, label):
+        out = kept(df, label)
+        if label == "additive-chosen":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(A, "write_table", watched)
+    results = []
+    for queries, rows in ((A.QUERIES, A.ROWS), (32, 512)):
+        monkeypatch.setattr(A, "QUERIES", queries)
+        monkeypatch.setattr(A, "ROWS", rows)
+        out = A.query(spark, d).toPandas().sort_values(["query_id", "rank"]).reset_index(drop=True)
+        found = out.groupby("query_id")["vec_id"].apply(set)
+        assert len(out) == 20 * len(own) and np.mean([len(found[q] & set(ids[b])) / 20 for q, b in zip(own, best)]) >= 0.98
+        assert (out.groupby("query_id")["rank"].apply(list).map(lambda r: r == list(range(1, 21)))).all()
+        results.append(out)
+    assert results[0].equals(results[1]) and len(set(sizes)) == 1  # blocks change nothing
+    assert sizes[0] < 0.1 * len(ids) * len(own)  # a small table's least; 0.9 % of 51,282 rows
