@@ -1,8 +1,10 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-A vector is described by its nearest reference points (pivots), in order. Inverted lists hold the vectors of each
-pivot; two vectors are candidates if they share at least min_shared pivots, and candidates are verified by their cosine
-in double precision. A pair meets in the list of its first shared pivot only, so every link counts once.
+A vector is described by its nearest reference points (pivots), in order. Inverted lists hold the vectors of each pivot,
+and a long list is split by the second pivot that two of its vectors share. Within a list the shared pivots of all pairs
+are counted by one product of indicator matrices; pairs that share at least min_shared are candidates, and candidates
+are verified by their cosine in double precision. A pair meets in the list of its first shared pivot (in a split one, of
+its first two) only, so every link counts once.
 """
 
 from __future__ import annotations
@@ -18,15 +20,18 @@ from pagemill.llm.common import hash_sample, write_table
 from pagemill.llm.components import connected_components
 from pagemill.llm.vectors import matrix, unit, usable
 
-#: Pivots grow as 4 times the square root of the number of vectors, to a power of two within these bounds.
+#: Pivots grow as 4 times the square root of the number of vectors, to a power of two within these bounds: they are
+#: broadcast. Beyond, lists grow long and are split by a second pivot, so the keys go on growing as the pivots' square.
 PIVOTS = (64, 16384)
 #: Pivots come from so many times as many vectors (of the smallest hashes), none nearer to another than this cosine: else
 #: a dense group would hold many pivots and its vectors would share few of their nearest.
 POOL, APART = 4, 0.8
 #: Pivots that describe a vector, and shared ones that make a candidate: recall 0.9997 at cosine 0.95 in 64 dimensions.
 NEAREST, MIN_SHARED = 8, 2
-#: Rows of a list that are compared as one block, at least; longer lists are cut into pairs of blocks.
-BLOCK = 512
+#: Rows of a list above which it is split by a second pivot, and then cut into pairs of blocks.
+BLOCK = 8192
+#: What sharing a pivot of an earlier list adds to a pair's count.
+EARLIER = 1024.0
 
 
 def link(vectors: DataFrame, threshold: float = 0.95, nearest: int = NEAREST, min_shared: int = MIN_SHARED, block: int = BLOCK) -> DataFrame:
@@ -36,7 +41,7 @@ def link(vectors: DataFrame, threshold: float = 0.95, nearest: int = NEAREST, mi
     kept says that it is the vector's own. Vectors that are null, zero, or hold null or non-finite components, and
     rows without vec_id, link with nothing. Vectors of different lengths never link. Equal vectors are one class: they
     count as links of each other but never meet as pairs. Rows that repeat a vec_id are vectors of their own in
-    n_links and one node in components. Other columns are ignored; an empty table gives an empty one.
+    n_links and one node in components, whatever their vectors. Other columns are ignored; an empty table gives an empty one.
     """
     spark = vectors.sparkSession
     rows = vectors.select("vec_id", "embedding", usable(F.col("vec_id"), F.col("embedding")).alias("ok"))
@@ -47,7 +52,10 @@ def link(vectors: DataFrame, threshold: float = 0.95, nearest: int = NEAREST, mi
     pairs = write_table(_pairs(spark, classes, threshold, nearest, min_shared, block), "vector-links")
 
     counts = pairs.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.sum("n").alias("far"))
-    found = connected_components(pairs.where("h1 IS NULL").select("u", "v"))
+    edges = pairs.where("h1 IS NULL").select("u", "v")
+    twice = good.select("vec_id", "h1", "h2").distinct().groupBy("vec_id").agg(F.count("*").alias("c")).where("c > 1").select("vec_id")
+    named = good.select("vec_id", "h1", "h2").distinct().join(twice, "vec_id").join(classes.select("h1", "h2", "node"), ["h1", "h2"])
+    found = connected_components(edges.unionByName(named.select(F.col("vec_id").alias("u"), F.col("node").alias("v"))))
     labels = classes.select("h1", "h2", "node", "n").join(counts, ["h1", "h2"], "left").join(found, "node", "left")
     labels = labels.select("h1", "h2", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     labels = write_table(labels, "vector-labels")
@@ -73,8 +81,8 @@ def _pairs(spark, classes: DataFrame, threshold: float, nearest: int, min_shared
     pivots: dict[int, np.ndarray] = {}
     for dim, n in sizes.items():
         k = int(np.clip(2 ** round(np.log2(4 * np.sqrt(n))), *PIVOTS))
-        drawn = hash_sample(classes.where(F.col("dim") == dim), n, POOL * k, ["h1", "h2"], ["embedding"]).collect()
-        pivots[dim] = spread(unit(np.array([r["embedding"] for r in drawn], np.float64)).astype(np.float32), k)
+        drawn = hash_sample(classes.where(F.col("dim") == dim), n, POOL * k, ["h1", "h2"], ["embedding"]).toArrow()
+        pivots[dim] = spread(unit(matrix(drawn.column(0).combine_chunks())).astype(np.float32), k)
     shared = spark.sparkContext.broadcast(pivots)  # at most PIVOTS[1] vectors of each length
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,23 +104,25 @@ def _pairs(spark, classes: DataFrame, threshold: float, nearest: int, min_shared
     kind = classes.schema["embedding"].dataType.simpleString()
     described = write_table(classes.select("h1", "h2", "node", "n", "dim", "embedding").mapInArrow(describe, f"h1 long, h2 long, node long, n long, dim int, embedding {kind}, pivots array<int>"), "pivot-index")
     posting = described.withColumn("pivot", F.explode("pivots"))
-    lists = posting.groupBy("dim", "pivot").agg(F.count("*").alias("rows")).collect()  # a row per pivot
-    usual = max(block, sum(r["rows"] for r in lists) // max(len(lists), 1))
-    cut = [(r["dim"], r["pivot"], -(-r["rows"] // usual)) for r in lists if r["rows"] > usual]
-    if cut:
-        cuts = spark.createDataFrame(pa.table({"dim": pa.array([c[0] for c in cut], pa.int32()), "pivot": pa.array([c[1] for c in cut], pa.int32()), "blocks": pa.array([c[2] for c in cut], pa.int32())}))
-        posting = posting.join(F.broadcast(cuts), ["dim", "pivot"], "left").fillna(1, ["blocks"])
-    else:
-        posting = posting.withColumn("blocks", F.lit(1))
+    sizes = [(r["dim"], r["pivot"]) for r in posting.groupBy("dim", "pivot").agg(F.count("*").alias("n")).where(F.col("n") > block).collect()]  # one row per pivot at most
+    long = spark.createDataFrame(pa.table({"dim": pa.array([x for x, _ in sizes], pa.int32()), "pivot": pa.array([x for _, x in sizes], pa.int32()), "long": pa.array([True] * len(sizes), pa.bool_())}))
+    posting = posting.join(F.broadcast(long), ["dim", "pivot"], "left")
+    later = F.filter("pivots", lambda p: p > F.col("pivot"))
+    split = F.coalesce("long", F.lit(False)) & (F.size("pivots") >= 2) & F.lit(min_shared >= 2)
+    posting = posting.withColumn("second", F.explode(F.when(split, later).otherwise(F.array(F.lit(-1)))))
+    hot = posting.where("long").groupBy("dim", "pivot", "second").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    hot = hot.select("dim", "pivot", "second", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    posting = posting.join(hot, ["dim", "pivot", "second"], "left").fillna(1, ["blocks"]) if sizes else posting.withColumn("blocks", F.lit(1))
     own = F.pmod(F.xxhash64(F.lit(3), "h1"), F.col("blocks")).cast("int")
     posting = posting.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    posting = posting.select("dim", "pivot", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "h1", "h2", "node", "n", "embedding", "pivots")
-    dealt = posting.repartition("dim", "pivot", "a", "b").sortWithinPartitions("dim", "pivot", "a", "b")
+    keys = ["dim", "pivot", "second", "a", "b"]
+    posting = posting.select("dim", "pivot", "second", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "h1", "h2", "node", "n", "embedding", "pivots")
+    dealt = posting.repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, []
         for batch in batches:
-            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)], axis=1)
+            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)], axis=1)
             cuts = (np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist() if len(keys) else []
             for x, y in zip([0, *cuts], [*cuts, len(keys)]):
                 if x == y:
@@ -131,26 +141,28 @@ def compare(key: tuple | None, held: list[pa.RecordBatch], threshold: float, min
     """Links of one list, or of two of its blocks: added links per class, and edges that span their components."""
     if key is None:
         return
-    _, pivot, a, b = key
+    _, pivot, second, a, b = key
     rows = pa.Table.from_batches(held)
     if rows.num_rows < 2:
         return
-    own, h1, h2, node, n = (rows.column(k).to_numpy() for k in (4, 5, 6, 7, 8))
-    vectors, named = unit(matrix(rows.column(9).combine_chunks())), matrix(rows.column(10).combine_chunks(), np.int32)
-    rough = vectors.astype(np.float32)
-    added, label = np.zeros(len(n), np.int64), np.arange(len(n))
+    own, h1, h2, node, n = (rows.column(k).to_numpy() for k in (5, 6, 7, 8, 9))
+    vectors, named = unit(matrix(rows.column(10).combine_chunks())), matrix(rows.column(11).combine_chunks(), np.int32)
+    rough, marks = vectors.astype(np.float32), _marks(named, pivot, second)
+    added, label, need = np.zeros(len(n), np.int64), np.arange(len(n)), min(min_shared, named.shape[1])
     left, right = (np.arange(len(n)),) * 2 if a == b else (np.flatnonzero(own == a), np.flatnonzero(own == b))
     for at in range(0, len(left), 256):
         i = left[at : at + 256]
-        x, y = np.nonzero(rough[i] @ rough[right].T >= threshold - 1e-4)
-        x, y = i[x], right[y]
+        shared = marks[i] @ marks[right].T
+        near = (shared >= need) & (shared < EARLIER)
         if a == b:
-            x, y = x[x < y], y[x < y]
+            near &= i[:, None] < right
+        if np.count_nonzero(near) > near.size // 32:  # many candidates: single precision rules most of them out at once
+            near &= rough[i] @ rough[right].T >= threshold - 1e-4
+        x, y = np.nonzero(near)
+        x, y = i[x], right[y]
         for k in range(0, len(x), 1 << 16):
             p, q = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
-            both = (named[p][:, :, None] == named[q][:, None, :]).any(axis=2)
-            first = np.where(both, named[p], np.iinfo(np.int32).max).min(axis=1) == pivot
-            keep = first & (both.sum(axis=1) >= min(min_shared, named.shape[1])) & (np.einsum("ij,ij->i", vectors[p], vectors[q]) >= threshold)
+            keep = np.einsum("ij,ij->i", vectors[p], vectors[q]) >= threshold
             p, q = p[keep], q[keep]
             np.add.at(added, p, n[q])
             np.add.at(added, q, n[p])
@@ -162,6 +174,17 @@ def compare(key: tuple | None, held: list[pa.RecordBatch], threshold: float, min
         yield pa.RecordBatch.from_arrays([none(len(moved))] * 3 + [pa.array(node[moved]), pa.array(node[label[moved]])], names=["h1", "h2", "n", "u", "v"])
 
 
+def _marks(named: np.ndarray, pivot: int, second: int) -> np.ndarray:
+    """An indicator matrix whose rows' products count shared pivots, and add EARLIER or more for a pair that meets in an
+    earlier list: one that shares a pivot before this list's, or another before its second."""
+    there, at = np.unique(named, return_inverse=True)
+    earlier = (there < max(pivot, second)) & (there != pivot) if second >= 0 else there < pivot
+    out = np.zeros((len(named), len(there)), np.float32)
+    out[np.arange(len(named))[:, None], at.reshape(named.shape)] = 1
+    out[:, earlier] *= np.sqrt(np.float32(EARLIER))
+    return out
+
+
 def _join(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
     """Merge the classes of p and q: label points to the smallest row of a class."""
     while True:

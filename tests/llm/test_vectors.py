@@ -71,6 +71,46 @@ def test_dense_group_keeps_recall(spark):
     assert sum(got.values()) >= 0.995 * sum(want.values()) and all(got[v] <= want[v] for v in got)
 
 
+def test_hot_group_of_distinct_vectors(spark):
+    """20,000 vectors about one point, of which some link: long lists are split by a second pivot, then cut."""
+    rng = np.random.default_rng(7)
+    x = (np.eye(1, 16) * 3 + 0.45 * rng.normal(size=(20_000, 16))).astype(np.float32)
+    x = np.vstack([x, rng.normal(size=(4000, 16)).astype(np.float32)])
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    want = np.concatenate([(unit[k : k + 1000] @ unit.T >= 0.95).sum(axis=1) - 1 for k in range(0, len(unit), 1000)])
+    out = P.link(frame(spark, rows), block=1024).toPandas().sort_values("vec_id")
+    got = out["n_links"].to_numpy()
+    assert (got <= want).all() and got.sum() >= 0.99 * want.sum() and want.sum() > 100_000
+    assert (P.link(frame(spark, rows), block=8192).toPandas().sort_values("vec_id")["n_links"].to_numpy() == got).all()
+
+
+def test_counts_come_before_products():
+    rng = np.random.default_rng(1)
+    named = np.sort(rng.permuted(np.tile(np.arange(12), (60, 1)), axis=1)[:, :5], axis=1).astype(np.int32)
+    meets = {}
+    for p in range(12):
+        for second in [-1, *range(p + 1, 12)]:
+            rows = np.flatnonzero((named == p).any(axis=1) & ((named == second).any(axis=1) | (second < 0)))
+            marks = P._marks(named[rows], p, second)
+            shared = marks @ marks.T
+            for i, j in zip(*np.nonzero((shared >= 2) & (shared < P.EARLIER))):
+                if i < j:
+                    key = (second >= 0, rows[i], rows[j])
+                    assert key not in meets
+                    meets[key] = shared[i, j]
+    for i in range(60):
+        for j in range(i + 1, 60):
+            both = len(set(named[i]) & set(named[j]))
+            assert meets.get((False, i, j), 0) == meets.get((True, i, j), 0) == (both if both >= 2 else 0)
+
+
+def test_one_vec_id_with_two_vectors(spark):
+    a, b = [1.0] + [0.0] * 7, [0.0] * 7 + [1.0]
+    out = P.link(frame(spark, [(3, a), (9, a), (4, b), (9, b), (11, [0.0, 1.0] + [0.0] * 6)])).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in out) == [(3, 1, 3, True), (4, 1, 3, False), (9, 1, 3, False), (9, 1, 3, False), (11, 0, 11, True)]
+
+
 def test_spread_of_pivots():
     rng = np.random.default_rng(2)
     pool = P.unit(rng.normal(size=(200, 4)))
