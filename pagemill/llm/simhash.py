@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 from pagemill.llm.common import documents, unused, write_table
 from pagemill.llm.components import connected_components
 
-#: Rows of a bucket above which it is split again over the bits that its key leaves open.
-HOT_BUCKET = 4096
+#: Rows of a bucket above which it is split over all bits, and above which a part of it is split again and then cut.
+HOT_BUCKET, HOT_PART = 4096, 65536
 #: Rough costs, in microseconds, of one index or probe row and of verifying one candidate pair.
 ROW_COST, PAIR_COST = 2.0, 0.02
 
@@ -145,64 +145,77 @@ def _mask(bits: list[int]) -> int:
 
 
 def _keys(fp: Column, plan: list[tuple[list[int], int]]) -> Column:
-    """array<struct<part, key>>: the buckets that a fingerprint is indexed in or probes."""
+    """array<struct<side, bucket>>: the bucket that holds a fingerprint (side 0), and those that it probes (side 1)."""
     out = []
     for part, (bits, t) in enumerate(plan):
         own = fp.bitwiseAND(F.lit(_mask(bits)))
         flips = [_mask(list(c)) for d in range(t + 1) for c in combinations(bits, d)]
-        out += [F.struct(F.lit(part).alias("part"), own.bitwiseXOR(F.lit(x)).cast("long").alias("key")) for x in flips]
+        out += [F.struct(F.lit(int(x != 0)).alias("side"), F.xxhash64(F.lit(part), own.bitwiseXOR(F.lit(x)).cast("long")).alias("bucket")) for x in flips]
     return F.array(*out)
 
 
-def links(fps: DataFrame, radius: int = 4, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+def _split(rows: DataFrame, hot: DataFrame, level: int, radius: int) -> DataFrame:
+    """rows (fp, side, bucket) with each hot bucket dealt out: two rows within radius bits agree on one of radius + 1
+    blocks of the 64 bits, so each block's value is a bucket of its own. Levels deal bits to blocks differently."""
+    step = (11, 27, 45)[level % 3]
+    blocks = [_mask([b for b in range(64) if (b * step) % 64 % (radius + 1) == k]) for k in range(radius + 1)]
+    parts = F.array(*[F.xxhash64(F.lit(level), F.lit(k), "bucket", F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(blocks)])
+    marked = rows.join(hot.select("bucket", F.lit(True).alias("hot")), "bucket", "left")
+    return marked.select("fp", "side", F.explode(F.when(F.col("hot"), parts).otherwise(F.array("bucket"))).alias("bucket"))
+
+
+def links(fps: DataFrame, radius: int = 4, hot_bucket: int = HOT_BUCKET, hot_part: int = HOT_PART) -> DataFrame:
     """(u long, v long): links between distinct fingerprints of fps (fp long) within radius bits, enough of them that
     their connected components are those of all such links: each bucket gives a spanning forest, not all its pairs.
 
-    A bucket of more than hot_bucket rows is split again: two of its rows agree on one of radius + 1 blocks of the bits
-    that its key leaves open, so each block's value becomes a bucket of its own. No bucket is capped.
+    A fingerprint lies in one bucket of each partition and probes those within the partition's threshold; held rows meet
+    one another and the probes, probes don't meet. A bucket of more than hot_bucket rows is split over all bits; what
+    still has more than hot_part rows is split once more, and then cut into pairs of blocks, so no task gathers more
+    than two blocks. No bucket is capped. An empty table gives an empty one.
     """
     n, share, correlation = bit_statistics(fps)
     plan = plan_index(n, share, correlation, radius)
-    rows = fps.select("fp", F.explode(_keys(F.col("fp"), plan)).alias("k")).select("fp", "k.part", F.col("k.key").alias("key"), F.lit(0).alias("sub"), F.lit(0).cast("long").alias("subkey"))
-    hot = write_table(rows.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > hot_bucket).select("part", "key", F.lit(True).alias("hot")), "hot-buckets")
-    if not hot.isEmpty():
-        marked = rows.join(hot, ["part", "key"], "left")
-        whole = F.array(F.struct(F.lit(0).alias("sub"), F.lit(0).cast("long").alias("subkey")))
-        split = whole
-        for part, (bits, t) in enumerate(plan):
-            open_bits = [b for b in range(64) if b not in bits] + (bits if t else [])
-            blocks = [open_bits[k :: radius + 1] for k in range(radius + 1)]
-            subs = F.array(*[F.struct(F.lit(k + 1).alias("sub"), F.col("fp").bitwiseAND(F.lit(_mask(b))).alias("subkey")) for k, b in enumerate(blocks)])
-            split = F.when(F.col("part") == part, subs).otherwise(split)
-        rows = marked.select("fp", "part", "key", F.explode(F.when(F.col("hot"), split).otherwise(whole)).alias("s")).select("fp", "part", "key", "s.sub", "s.subkey")
+    rows = fps.select("fp", F.explode(_keys(F.col("fp"), plan)).alias("k")).select("fp", "k.side", "k.bucket")
+    keys = ["bucket"]
+    for level, most in enumerate((hot_bucket, hot_part, hot_part)):
+        hot = write_table(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > most), "hot-buckets")
+        if hot.isEmpty():
+            break
+        if level < 2:
+            rows = write_table(_split(rows, hot, level, radius), "hot-split")
+            continue
+        blocks = F.coalesce(F.ceil(F.col("n") / most).cast("int"), F.lit(1))
+        cut = rows.join(hot, "bucket", "left").withColumn("own", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        rows, keys = cut.select("fp", "side", "bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")), ["bucket", "a", "b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, []
         for batch in batches:
-            values = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+            values = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
             new = np.zeros(batch.num_rows, bool)
-            for x in values[1:]:
+            for x in values[2:]:
                 new[1:] |= x[1:] != x[:-1]
             cuts = np.flatnonzero(new).tolist()
             out: list[tuple[np.ndarray, np.ndarray]] = []
             for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
-                key = tuple(int(x[a]) for x in values[1:]) if b > a else last
+                key = tuple(int(x[a]) for x in values[2:]) if b > a else last
                 if key != last:
                     _flush(held, out, radius)
                     last, held = key, []
-                held.append(values[0][a:b])
+                held.append((values[0][a:b], values[1][a:b]))
             yield from _edges(out)
         out = []
         _flush(held, out, radius)
         yield from _edges(out)
 
-    dealt = rows.repartition("part", "key", "sub", "subkey").sortWithinPartitions("part", "key", "sub", "subkey")
-    return dealt.select("fp", "part", "key", "sub", "subkey").mapInArrow(run, "u bigint, v bigint")
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.select("fp", "side", *keys).mapInArrow(run, "u bigint, v bigint")
 
 
-def _flush(held: list[np.ndarray], out: list, radius: int) -> None:
-    if sum(map(len, held)) > 1:
-        found = forest(np.concatenate(held).view(np.uint64), radius)
+def _flush(held: list[tuple[np.ndarray, np.ndarray]], out: list, radius: int) -> None:
+    if sum(len(x) for x, _ in held) > 1:
+        fps, side = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+        found = forest(fps[side == 0].view(np.uint64), radius, fps[side == 1].view(np.uint64))
         if len(found[0]):
             out.append(found)
 
@@ -213,26 +226,30 @@ def _edges(out: list) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
-def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within one bucket; memory stays linear in the bucket."""
-    fps = np.unique(fps)
+def forest(fps: np.ndarray, radius: int, probes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links within one bucket: among fps, and between fps and probes; memory stays linear."""
     none = np.zeros(0, np.uint64)
-    if len(fps) <= 256:
-        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
-        if near.sum() == len(fps):
+    left = [np.unique(fps), np.unique(none if probes is None else probes)]
+    left[1] = np.setdiff1d(left[1], left[0], assume_unique=True)
+    if not len(left[0]):
+        return none, none
+    if len(left[0]) + len(left[1]) <= 256:
+        every = np.concatenate(left)
+        if np.count_nonzero(np.bitwise_count(left[0][:, None] ^ every) <= radius) == len(left[0]):
             return none, none
-    left, us, vs = fps, [], []
-    while len(left) > 1:
-        wave, left = [left[0]], left[1:]
-        while wave and len(left):
-            at = wave.pop()
-            near = np.bitwise_count(left ^ at) <= radius
-            if near.any():
-                got = left[near]
-                us.append(got)
-                vs.append(np.full(len(got), at))
-                wave.extend(got)
-                left = left[~near]
+    us, vs = [], []
+    while len(left[0]):
+        wave, left[0] = [(left[0][0], 0)], left[0][1:]
+        while wave and (len(left[0]) or len(left[1])):
+            at, side = wave.pop()
+            for other in (0, 1) if side == 0 else (0,):  # probes don't meet
+                near = np.bitwise_count(left[other] ^ at) <= radius
+                if near.any():
+                    got = left[other][near]
+                    us.append(got)
+                    vs.append(np.full(len(got), at))
+                    wave.extend((x, other) for x in got)
+                    left[other] = left[other][~near]
     return (np.concatenate(us), np.concatenate(vs)) if us else (none, none)
 
 
@@ -268,7 +285,9 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest doc_id, one without a doc_id only if
-    none has any; of rows that tie, one. Texts cross the network once, by row number, so no hot group gathers them."""
+    none has any; of rows that tie, as repeated rows do, one. Null and empty texts are one group; long texts are read
+    whole; extra columns of any name pass through; an empty table gives an empty one. Texts cross the network once, by
+    row number, so no hot group gathers them."""
     columns, fp, row = docs.columns, unused("fp", docs.columns), unused("row", docs.columns)
     marked = write_table(fingerprints(docs, keep=tuple(columns), name=fp).withColumn(row, F.monotonically_increasing_id()), "fingerprints")
     light = marked.select("doc_id", F.col(fp).alias("fp"), F.col(row).alias("row"))

@@ -83,6 +83,50 @@ def test_links_of_random_fingerprints(spark, hot):
     assert {x: got.get(x, x) for x in fps} == brute_components([(x, x % (1 << 64)) for x in fps])
 
 
+def components_of(fps):
+    """Smallest reachable fingerprint of each, by all pairs and labels that spread until nothing changes."""
+    pairs = [np.nonzero(np.bitwise_count(fps[k : k + 500, None] ^ fps) <= 4) for k in range(0, len(fps), 500)]
+    x, y = np.concatenate([p[0] + 500 * k for k, p in enumerate(pairs)]), np.concatenate([p[1] for p in pairs])
+    label = np.arange(len(fps))
+    while True:
+        after = label.copy()
+        np.minimum.at(after, x, label[y])
+        if (after == label).all():
+            return label
+        label = after
+
+
+@pytest.mark.parametrize(("hot", "part"), [(4096, 65536), (64, 256)])
+def test_hot_buckets(spark, hot, part):
+    """20,000 distinct fingerprints that differ in few places: buckets of thousands, which are split twice and then cut."""
+    rng = np.random.default_rng(5)
+    base = int(rng.integers(1 << 62))
+    flips = np.array([sum(1 << int(k) for k in rng.choice(63, n, replace=False)) for n in rng.choice([4, 7, 9, 12], 20_000, p=[0.1, 0.2, 0.3, 0.4])])
+    fps = np.unique(base ^ flips)
+    edges = S.links(spark.createDataFrame([(int(x),) for x in fps], "fp long"), hot_bucket=hot, hot_part=part)
+    assert edges.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) > 4).count() == 0
+    got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
+    assert [got.get(int(x), int(x)) for x in fps] == [int(fps[k]) for k in components_of(fps)]
+
+
+def test_forest_with_probes():
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        held, probes = (rng.integers(0, 1 << 9, n).astype(np.uint64) for n in (12, 8))
+        u, v = S.forest(held, 1, probes)
+        every = sorted({*map(int, held), *map(int, probes)})
+        links = [(a, b) for a in every for b in every if a < b and (a ^ b).bit_count() <= 1 and (a in held or b in held)]
+        label = {x: x for x in every}
+        for _ in every:
+            for a, b in links:
+                label[a] = label[b] = min(label[a], label[b])
+        own = {x: x for x in every}
+        for _ in every:
+            for a, b in zip(map(int, u), map(int, v)):
+                own[a] = own[b] = min(own[a], own[b])
+        assert own == label and len(u) == len(every) - len(set(label.values()))
+
+
 def test_plan_covers_the_radius():
     rng = np.random.default_rng(0)
     for n in (10, 10_000, 10**7, 10**9):
