@@ -80,6 +80,41 @@ def test_rows_of_the_mix(spark):
     assert M.stage(spark, df, "").columns == df.columns
 
 
+def test_many_copies_spread(spark, monkeypatch):
+    """A third of all rows are one row: it fills no block alone, and runs agree over partitions."""
+    monkeypatch.setattr(M, "COPIES", 40)
+    rows = [(7, "w " * 20, "a", "x")] * 900 + [(100 + k, "v " * (1 + k % 30), "a" if k % 2 else "b", "x") for k in range(1800)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    results = []
+    for d in (df, df.repartition(11)):
+        out = M.mix(d, shards=8).collect()
+        results.append(sorted((r["doc_id"], r["taken"], tuple(r["shards"])) for r in out))
+        per = Counter(x for r in out if r["doc_id"] == 7 for x in r["shards"])
+        assert len(per) == 8 and max(per.values()) < 2.5 * sum(per.values()) / 8
+        taken = Counter()
+        for r in out:
+            taken[r["target"]] += r["taken"]
+        assert all(abs(t - n) <= 1 for t, n in taken.items())
+    assert results[0] == results[1]
+    words = sum(r["taken"] for r in M.mix(df).collect())
+    assert sum(size(r["text"]) for r in M.mixed_rows(df).collect()) == words
+
+
+def test_many_sources_have_few_blocks(spark, monkeypatch):
+    monkeypatch.setattr(M, "CELLS", 64)
+    monkeypatch.setattr(M, "BROADCAST_ROWS", 50)
+    rows = [(k, "w " * (1 + k % 9), f"s{k % 300}", "x") for k in range(3000)]
+    sized = M.with_size(spark.createDataFrame(rows, SCHEMA), 20)
+    plan = M.make_plan(sized)
+    assert plan.blocks.count() == 300
+    out = M.mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    taken, goal = Counter(), {}
+    for r in out:
+        taken[r["doc_id"] % 300] += r["taken"]
+        goal[r["doc_id"] % 300] = r["target"]
+    assert len(out) == 3000 and all(abs(taken[k] - goal[k]) <= 1 for k in range(300))
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert M.mix(empty).count() == 0 and M.mixed_rows(empty).count() == 0
