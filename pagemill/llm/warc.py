@@ -2,8 +2,9 @@
 
 Records are range-sorted by key into shards whose bounds come from the data alone, so the same table gives the same
 files under any partitioning. Each shard rolls its files by compressed size; headers, record ids and digests are
-regenerated from the payload. A file is written under a temporary name and renamed when it is whole; a manifest table,
-committed after all shards, lists the files that count, so a retried or speculative task can't add a record twice.
+regenerated from the payload. A file is written under a temporary name and, when it is whole, gets a name with its own
+digest, so a retried or speculative task comes to the same name with the same bytes and finds it taken. A manifest in
+the archive's folder, committed after all shards, lists the files that count; then temporary ones are removed.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.ml.feature import Bucketizer
@@ -25,8 +27,13 @@ from pagemill.llm.common import hash_sample, new_path, write_table
 LEAST_REVISIT = 100
 #: Shards at least, bytes of payload per shard beyond that, compressed bytes after which a file rolls.
 LEAST_SHARDS, SHARD_BYTES, ROLL_BYTES = 64, 256 << 20, 128 << 20
-#: Rows that shard bounds are cut from (those with the smallest hash), and the date that records carry.
-BOUND_ROWS, DATE = 20_000, "2024-01-01T00:00:00Z"
+#: Rows that bounds are cut from (those with the smallest hash), ranges that they make at most, and rows for each shard
+#: by which executors cut the ranges further.
+BOUND_ROWS, RANGES, SHARD_ROWS = 20_000, 1024, 64
+#: Tasks that read an archive back, at most.
+MOST_TASKS = 1 << 16
+#: The date that records carry.
+DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -34,10 +41,8 @@ def _payload(html: Column) -> Column:
     return F.coalesce(html.cast("binary"), F.lit(b""))
 
 
-def _bounds(light: DataFrame, shards: int) -> list[float]:
-    """Inner bounds of page_id that split a hash sample's bytes evenly; the sample is the same on every run."""
-    sample = hash_sample(light.where("page_id IS NOT NULL"), light.count(), BOUND_ROWS, ["page_id", "digest"], ["page_id", "payload_bytes"]).collect()
-    rows = sorted((float(r["page_id"]), r["payload_bytes"] + 500) for r in sample)
+def _cuts(rows: list[tuple[float, int]], shards: int) -> list[float]:
+    """Inner bounds that split rows (key, bytes), in order, into shards of about equal bytes."""
     total, run, out = sum(b for _, b in rows), 0, []
     for key, size in rows:
         if run >= total * (len(out) + 1) / shards and (not out or key > out[-1]):
@@ -46,13 +51,39 @@ def _bounds(light: DataFrame, shards: int) -> list[float]:
     return out
 
 
-def _with_shard(df: DataFrame, bounds: list[float]) -> DataFrame:
-    """Adds shard: 0 for a null page_id, else by binary search among the bounds."""
+def _bounds(light: DataFrame, shards: int) -> list[float]:
+    """Inner bounds of page_id that split a hash sample's bytes evenly; the sample is the same on every run.
+
+    Up to RANGES shards are cut from BOUND_ROWS rows. More are cut within such ranges, on the executors, from a sample
+    that grows with the shards; the driver gets the bounds alone, a number per shard.
+    """
+    good, n = light.where("page_id IS NOT NULL"), light.count()
+    sample = hash_sample(good, n, BOUND_ROWS, ["page_id", "digest"], ["page_id", "payload_bytes"]).collect()
+    out = _cuts(sorted((float(r["page_id"]), r["payload_bytes"] + 500) for r in sample), min(shards, RANGES))
+    if shards <= RANGES:
+        return out
+    chance = min(1.0, SHARD_ROWS * shards / max(n, 1))
+    keyed = good.where(F.xxhash64("page_id", "digest") < int(chance * (2**64 - 1)) - 2**63) if chance < 1 else good
+    each = -(-shards // (len(out) + 1))
+
+    def cut(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(zip(frame["page_id"].astype(float), (frame["payload_bytes"] + 500).tolist()))
+        return pd.DataFrame({"bound": _cuts(rows, each)}, dtype="float64")
+
+    finer = _with_shard(keyed.select("page_id", "payload_bytes", "digest"), out, 0).groupBy("shard").applyInPandas(cut, "bound double")
+    return sorted({*out, *(r["bound"] for r in finer.collect())})
+
+
+def _with_shard(df: DataFrame, bounds: list[float], alike: int) -> DataFrame:
+    """Adds shard: by binary search among the bounds; rows without page_id, and those of a page_id that is a bound of
+    alike ones (too many bytes for a shard), go by digest."""
     if not bounds:
         return df.withColumn("shard", F.lit(0))
     cut = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol="_key", outputCol="_bucket", handleInvalid="keep")
     found = cut.transform(df.withColumn("_key", F.coalesce(F.col("page_id").cast("double"), F.lit(float("-inf")))))
-    return found.withColumn("shard", F.col("_bucket").cast("int")).drop("_key", "_bucket")
+    loose = F.col("page_id").isNull() | (F.col("_hot") if alike else F.lit(False))
+    by_digest = F.pmod(F.xxhash64("digest"), F.lit(len(bounds) + 1)).cast("int")
+    return found.withColumn("shard", F.when(loose, by_digest).otherwise(F.col("_bucket").cast("int"))).drop("_key", "_bucket")
 
 
 def write(pages: DataFrame, path: str, least_shards: int = LEAST_SHARDS, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -60,21 +91,28 @@ def write(pages: DataFrame, path: str, least_shards: int = LEAST_SHARDS, shard_b
 
     Of records with equal payloads of at least LEAST_REVISIT bytes the one with the smallest page_id is a response and
     the others revisit it; a null page_id counts as the largest. Repeated rows (page_id and payload equal): the first
-    in the file is the response, the others revisit it. A null html is an empty payload, a null url a urn. Other
-    columns are ignored; an empty table gives no files. Page texts cross the network once; duplicates are found on
-    digests, and what they refer to is merged in by the sort.
+    in the file is the response, the others revisit it. A null html is an empty payload, a null url a urn. Rows without
+    page_id, and those of a page_id that alone has more bytes than a shard, are dealt by digest. Other columns are
+    ignored, whatever their names; an empty table gives no files. Page texts cross the network once; duplicates are found
+    on digests, and what they refer to is merged in by the sort. A record and its compressed form are held whole, so the
+    longest payload must fit a task's memory twice.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), _payload(F.col("html")).alias("payload"))
     light = write_table(rows.select("page_id", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("payload_bytes")), "warc-digests")
     total = light.agg(F.sum("payload_bytes")).first()[0] or 0
     bounds = _bounds(light, max(least_shards, -(-total // shard_bytes)))
+    hot = write_table(light.where("page_id IS NOT NULL").groupBy("page_id").agg(F.sum("payload_bytes").alias("b")).where(F.col("b") > shard_bytes).select("page_id", F.lit(True).alias("_hot")), "warc-hot")
+    many = hot.count()  # fewer than total / shard_bytes
     groups = light.where(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n"))
     groups = groups.where("n > 1 AND refers_to IS NOT NULL").select("digest", "refers_to")
     again = light.join(groups, "digest").where("page_id IS NULL OR page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
 
     records = rows.select("page_id", F.sha2("payload", 256).alias("digest"), F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("refers_to"))
     marks = again.select("page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "refers_to")
-    dealt = _with_shard(records.unionByName(marks), bounds).repartitionById(len(bounds) + 1, "shard")
+    both = records.unionByName(marks)
+    if many:
+        both = both.join(hot if many > BOUND_ROWS else F.broadcast(hot), "page_id", "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+    dealt = _with_shard(both, bounds, many).repartitionById(len(bounds) + 1, "shard")
     ordered = dealt.sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +139,12 @@ def write(pages: DataFrame, path: str, least_shards: int = LEAST_SHARDS, shard_b
             yield out.close()
 
     manifest = ordered.select("shard", "page_id", "digest", "kind", "url", "payload", "refers_to").mapInArrow(run, "file string, shard int, records long, bytes long, sha256 string")
-    return write_table(manifest, "warc-manifest")
+    manifest.write.parquet(f"{path.rstrip('/')}/manifest")
+    system, root = fs.FileSystem.from_uri(path)
+    for left in system.get_file_info(fs.FileSelector(root)):  # of attempts that failed
+        if left.is_file and left.base_name.startswith(".shard-"):
+            system.delete_file(left.path)
+    return pages.sparkSession.read.schema(manifest.schema).parquet(f"{path.rstrip('/')}/manifest")
 
 
 def _record_id(page_id: int | None, digest: str, nth: int) -> str:
@@ -129,7 +172,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 def _info(name: str) -> bytes:
     body = b"software: pagemill\r\nformat: WARC File Format 1.1\r\n"
-    head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {_record_id(None, name, 0)}\r\nWARC-Date: {DATE}\r\nWARC-Filename: {name}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(body)}\r\n\r\n"
+    head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {_record_id(None, name, 0)}\r\nWARC-Date: {DATE}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(body)}\r\n\r\n"
     return head.encode() + body + b"\r\n\r\n"
 
 
@@ -145,7 +188,7 @@ class _ShardWriter:
 
     def add(self, raw: bytes) -> None:
         if self.stream is None:
-            self.name = f"shard-{self.shard:06d}-{len(self.files):05d}.warc.gz"
+            self.name = f"shard-{self.shard:06d}-{len(self.files):05d}"
             self.stream = self.fs.open_output_stream(f"{self.root}/.{self.name}.{self.attempt}")
             self.bytes, self.records, self.digest = 0, 0, hashlib.sha256()
             self._member(_info(self.name))
@@ -164,8 +207,12 @@ class _ShardWriter:
     def _finish(self) -> None:
         self.stream.close()
         self.stream = None
-        self.fs.move(f"{self.root}/.{self.name}.{self.attempt}", f"{self.root}/{self.name}")
-        self.files.append((f"{self.path}/{self.name}", self.shard, self.records, self.bytes, self.digest.hexdigest()))
+        temporary, final = f"{self.root}/.{self.name}.{self.attempt}", f"{self.name}-{self.digest.hexdigest()[:16]}.warc.gz"
+        if self.fs.get_file_info(f"{self.root}/{final}").type == fs.FileType.NotFound:
+            self.fs.move(temporary, f"{self.root}/{final}")
+        else:  # another attempt wrote the same bytes
+            self.fs.delete_file(temporary)
+        self.files.append((f"{self.path}/{final}", self.shard, self.records, self.bytes, self.digest.hexdigest()))
 
     def close(self) -> pa.RecordBatch:
         if self.stream is not None:
@@ -233,7 +280,8 @@ def read(manifest: DataFrame, payload: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload
-    return manifest.select("file").repartition("file").mapInArrow(run, schema)
+    tasks = min(max(manifest.count(), 1), MOST_TASKS)  # a given number isn't merged: about a file a task
+    return manifest.select("file").repartition(tasks, "file").mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -66,7 +66,7 @@ def test_rolls_and_leaves_whole_files(spark):
     assert len(named) > 6 and sum(v[1] for v in named.values()) == 60
     folder = next(iter(named.values()))[3].rsplit("/", 1)[0]
     system, root = fs.FileSystem.from_uri(folder)
-    present = {i.base_name for i in system.get_file_info(fs.FileSelector(root))}
+    present = {i.base_name for i in system.get_file_info(fs.FileSelector(root)) if i.is_file}
     assert present == set(named)  # no temporary file stays
     for sha, _, size, uri in named.values():
         with system.open_input_stream(fs.FileSystem.from_uri(uri)[1], compression=None) as f:
@@ -74,6 +74,39 @@ def test_rolls_and_leaves_whole_files(spark):
         assert hashlib.sha256(data).hexdigest() == sha and len(data) == size and gzip.decompress(data).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
 
 
+def test_retried_tasks_agree(spark, tmp_path):
+    """Two attempts at one shard, and one that dies: one file counts, and what is left over goes."""
+    records = [W.record(k, "u", b"payload", hashlib.sha256(b"payload").hexdigest(), False, None, 0) for k in range(3)]
+    found = []
+    for _ in range(2):
+        writer = W._ShardWriter(f"file://{tmp_path}/a", 1, 1 << 20)
+        for raw in records:
+            writer.add(raw)
+        found.append(writer.close().to_pylist())
+    assert found[0] == found[1] and [p.name for p in (tmp_path / "a").iterdir()] == [found[0][0]["file"].rsplit("/", 1)[1]]
+    path = common.new_path(spark, "warc")
+    dead = W._ShardWriter(path, 0, 1 << 20)
+    dead.add(records[0])
+    dead.stream.close()
+    W.write(spark.createDataFrame(ROWS, SCHEMA), path)
+    system, root = fs.FileSystem.from_uri(path)
+    assert not [i for i in system.get_file_info(fs.FileSelector(root)) if i.base_name.startswith(".shard")]
+
+
+def test_many_shards_and_hot_ids(spark, monkeypatch):
+    monkeypatch.setattr(W, "RANGES", 4)
+    rows = [(k, "u", f"page {k} " * 40, "d") for k in range(900)] + [(None, "n", f"null {k} " * 40, "d") for k in range(600)] + [(77, "h", f"hot {k} " * 40, "d") for k in range(500)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    manifests = [W.write(d, common.new_path(spark, "warc"), least_shards=24, shard_bytes=30_000) for d in (df, df.repartition(7))]
+    assert result(W.read(manifests[0])) == brute(rows)
+    one, two = (files(spark, m) for m in manifests)
+    assert {k: v[:3] for k, v in one.items()} == {k: v[:3] for k, v in two.items()}
+    sizes = [v[1] for v in one.values()]
+    assert len(sizes) >= 18 and max(sizes) < 6 * sum(sizes) / len(sizes)
+    read = W.read(manifests[0])
+    assert read.rdd.getNumPartitions() == len(one) and sum(1 for n in read.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect() if n) > len(one) // 2
+
+
 def test_damage_is_noticed(spark, tmp_path):
     raw = W.record(1, "u", b"payload", hashlib.sha256(b"other").hexdigest(), False, None, 0)
     (tmp_path / "x.warc.gz").write_bytes(gzip.compress(raw))
