@@ -10,15 +10,16 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import filterfalse
+from itertools import chain, filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import documents
+from pagemill.llm.common import documents, unused
 
 #: Hash buckets of n-grams, and as many again of whole words.
 BUCKETS = 1 << 16
@@ -39,18 +40,38 @@ SCRIPTS = [
 STARTS = np.array([x for x, _ in SCRIPTS], np.uint32)
 NAMES = sorted({x for _, x in SCRIPTS})
 SCRIPT_AT = np.array([NAMES.index(x) for _, x in SCRIPTS])
-WORD = re.compile(r"[^\W\d_]+")
+#: A word: letters, and the marks that go with them; texts without marks need the simpler pattern only.
+WORD, MARK, MARKED_WORD = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{M}"), regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Words that a task scores at a time, and scored words that it keeps.
 CHUNK, KEPT = 200_000, 300_000
 #: Scale of a word's evidence, cost of a change of language, and share of a language's words that shows it uses a script.
 SCALE, PENALTY, SCRIPT_SHARE = 0.3, 12.0, 0.005
 
 
+def word_chunks(text: str | None) -> Iterator[list[str]]:
+    """The words of a text in order, CHUNK at a time."""
+    if not text:
+        return
+    low = text.lower()
+    pattern = MARKED_WORD if not low.isascii() and MARK.search(low) else WORD
+    if len(low) < CHUNK:
+        words = pattern.findall(low)
+        if words := words if low.isascii() else _letters(words):
+            yield words
+        return
+    found = (m[0] for m in pattern.finditer(low))
+    while words := list(islice(found, CHUNK)):
+        if words := _letters(words):
+            yield words
+
+
+def _letters(words: list[str]) -> list[str]:
+    """Beyond ASCII the pattern also finds signs such as a raised 2."""
+    return [w for w in words if w.isalpha() or any(map(str.isalpha, w))]
+
+
 def words_of(text: str | None) -> list[str]:
-    words = WORD.findall(text.lower()) if text else []
-    if text and not text.isascii():  # beyond ASCII the pattern also finds signs such as a raised 2
-        words = [w for w in words if w.isalpha() or any(map(str.isalpha, w))]
-    return words
+    return list(chain.from_iterable(word_chunks(text)))
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,9 +151,8 @@ def train(labelled: DataFrame, rows_per_lang: int = 2000, seed: int = 8) -> Mode
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1)):
-                words = words_of(text.as_py())
-                for at in range(0, len(words), CHUNK):
-                    numbers, _, script = features(words[at : at + CHUNK])
+                for words in word_chunks(text.as_py()):
+                    numbers, _, script = features(words)
                     own = sums.setdefault(lang.as_py(), np.zeros(2 * BUCKETS + len(NAMES), np.int64))
                     own[: 2 * BUCKETS] += np.bincount(numbers, minlength=2 * BUCKETS)
                     own[2 * BUCKETS :] += np.bincount(script, minlength=len(NAMES))
@@ -154,6 +174,49 @@ def train(labelled: DataFrame, rows_per_lang: int = 2000, seed: int = 8) -> Mode
 # ---------------------------------------------------------------- prediction
 
 
+class Trellis:
+    """Viterbi over rows that come piece by piece: sums are carried on, and of each row only where a change of label
+    would come from (one number) and which labels it reaches (a bit each) is kept."""
+
+    def __init__(self, n: int, penalty: float):
+        self.n, self.penalty, self.rows, self.now = n, penalty, 0, None
+        self.sources: list[np.ndarray] = []
+        self.changed: list[np.ndarray] = []
+
+    def add(self, scores: np.ndarray) -> None:
+        for at in range(0, len(scores), 4096):
+            now, sources, changed = self.now, [], []
+            if now is not None:
+                top = max(now)
+                now = [x - top for x in now]  # sums stay small over very long texts
+            for row in scores[at : at + 4096].tolist():
+                if now is None:
+                    now, k, flags = row, 0, [False] * self.n
+                else:
+                    top = max(now)
+                    k, enter = now.index(top), top - self.penalty
+                    flags = [x < enter for x in now]
+                    now = [(enter if f else x) + s for x, f, s in zip(now, flags, row)]
+                sources.append(k)
+                changed.append(flags)
+            self.now = now
+            self.rows += len(sources)
+            self.sources.append(np.array(sources, np.int16))
+            self.changed.append(np.packbits(np.array(changed, bool), axis=1))
+
+    def path(self) -> np.ndarray:
+        out = np.empty(self.rows, np.int16)
+        at, label = self.rows, self.now.index(max(self.now)) if self.rows else 0
+        for sources, changed in zip(reversed(self.sources), reversed(self.changed)):
+            flags, sources = np.unpackbits(changed, axis=1, count=self.n).astype(bool), sources.tolist()
+            for i in range(len(sources) - 1, -1, -1):
+                at -= 1
+                out[at] = label
+                if flags[i, label]:
+                    label = sources[i]
+        return out
+
+
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     """The best label of each row of scores when every change of label costs penalty.
 
@@ -169,34 +232,42 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     sums = np.concatenate(([0.0], np.cumsum(gain.max(axis=1), dtype=np.float64)))
     if (sums - np.minimum.accumulate(sums)).max() <= penalty:
         return np.full(t, best)
-    now, back = scores[0].tolist(), np.empty((t, n), np.int16)
-    same = list(range(n))
-    for i, row in enumerate(scores[1:].tolist(), 1):
-        top = max(now)
-        k, enter = now.index(top), top - penalty
-        back[i] = [j if now[j] >= enter else k for j in same]
-        now = [(x if x >= enter else enter) + s for x, s in zip(now, row)]
-        if not i & 4095:  # sums stay small over very long texts
-            now = [x - top for x in now]
-    out = np.empty(t, np.int64)
-    out[-1] = now.index(max(now))
-    for i in range(t - 1, 0, -1):
-        out[i - 1] = back[i, out[i]]
-    return out
-
-
-def _label(scores: np.ndarray, model: Model, penalty: float) -> tuple[str, float, list[tuple[str, int, int]]]:
-    known = scores.any(axis=1)
-    if not known.any():  # words of scripts, or equal evidence, that tell nothing
-        return model.langs[0], 0.0, []
-    path = viterbi(scores, penalty)
-    votes = np.bincount(path[known], minlength=len(model.langs))
+    trellis = Trellis(n, penalty)
+    trellis.add(scores)
+    return trellis.path()
+
+
+def label(text: str | None, known: Known, penalty: float) -> tuple[str, float, list[tuple[str, int, int]]]:
+    """(language, score, spans) of a whole text; a long one is scored chunk by chunk, first for the path and again for
+    what its words say, so memory holds one chunk and a few bytes a word."""
+    langs = known.model.langs
+    pieces = word_chunks(text) if langs else iter(())
+    first = next(pieces, None)
+    if first is None:
+        return "und", 0.0, []
+    second = next(pieces, None)
+    if second is None:
+        scores = known.scores(first)
+        path, scored = viterbi(scores, penalty), iter([scores])
+    else:
+        trellis = Trellis(len(langs), penalty)
+        for words in chain([first, second], pieces):
+            trellis.add(known.scores(words))
+        path, scored = trellis.path(), map(known.scores, word_chunks(text))
+    votes, totals, at = np.zeros(len(langs), np.int64), np.zeros((len(langs), len(langs))), 0
+    for scores in scored:
+        own, sure = path[at : at + len(scores)], scores.any(axis=1)
+        at += len(scores)
+        votes += np.bincount(own[sure], minlength=len(langs))
+        for k in np.unique(own[sure]):
+            totals[k] += scores[sure & (own == k)].sum(axis=0, dtype=np.float64)
+    if not votes.any():  # words of scripts, or equal evidence, that tell nothing
+        return langs[0], 0.0, []
     best = int(votes.argmax())
-    total = scores[known & (path == best)].sum(axis=0, dtype=np.float64)
-    chance = 1 / np.exp(np.minimum(total - total[best], 50)).sum()
+    chance = 1 / np.exp(np.minimum(totals[best] - totals[best][best], 50)).sum()
     cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
-    spans = [(model.langs[path[a]], a, b) for a, b in zip(cuts[:-1], cuts[1:])]
-    return model.langs[best], float(min(1.0, chance * votes[best] / known.sum())), spans
+    spans = [(langs[path[a]], a, b) for a, b in zip(cuts[:-1], cuts[1:])]
+    return langs[best], float(min(1.0, chance * votes[best] / votes.sum())), spans
 
 
 class Known:
@@ -225,7 +296,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: boo
     their language; spans lists (lang, first word, word after the last). A null text, or one with no letter, is 'und'
     with score 0 and no spans, and so is every text when nothing was learned. Letters of scripts that no language uses
     give the most frequent language with score 0. Ties go to the more frequent language. Texts of any length are read
-    whole. Repeated rows get equal rows, columns not in keep are ignored (names renames the new ones where they clash),
+    whole, a chunk of words at a time. Repeated rows get equal rows, columns not in keep are ignored (names renames the new ones where they clash),
     an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -238,11 +309,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: boo
         for batch in batches:
             found = []
             for text in batch.column(batch.num_columns - 1):
-                words = words_of(text.as_py())
-                rows = []
-                for at in range(0, len(words) if model.langs else 0, CHUNK):
-                    rows.append(known.scores(words[at : at + CHUNK]))
-                found.append(_label(np.concatenate(rows), model, penalty) if rows else ("und", 0.0, []))
+                found.append(label(text.as_py(), known, penalty))
             columns = [*batch.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             if spans:
                 columns.append(pa.array([[{"lang": a, "first": b, "stop": c} for a, b, c in x[2]] for x in found], span))
@@ -273,9 +340,12 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: und, or no word that speaks for a learned language (score 0), as of letters that
     none uses. Mixed texts stay, however many languages they have. When nothing was learned, all texts with a letter stay.
+    Null and empty texts go; long ones are read whole; repeated rows stay repeated; rows without doc_id teach nothing and
+    stay like others; extra columns of any name pass through; an empty table gives an empty one.
     """
     model = train_on_folds(docs)
     if not model.langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = identify(docs, model, spans=False, keep=tuple(docs.columns), names=("_lang_pred", "_score"))
-    return found.where((F.col("_lang_pred") != "und") & (F.col("_score") > 0)).select(*docs.columns)
+    lang, score = unused("_lang_pred", docs.columns), unused("_score", docs.columns)
+    found = identify(docs, model, spans=False, keep=tuple(docs.columns), names=(lang, score))
+    return found.where((F.col(lang) != "und") & (F.col(score) > 0)).select(*docs.columns)

@@ -61,6 +61,47 @@ def test_long_text_equals_short(model, spark, monkeypatch):
     assert one["lang_pred"] in ("en", "de") and sum(s["stop"] - s["first"] for s in one["spans"]) == len(L.words_of(text * 50))
 
 
+def test_chunks_change_nothing(model, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(" ".join(rng.choice(WORDS[x].split(), rng.integers(1, 40))) for x in rng.choice(list(WORDS), 6)) for _ in range(60)]
+    whole = [L.label(t, L.Known(model), L.PENALTY) for t in texts]
+    monkeypatch.setattr(L, "CHUNK", 7)
+    assert len(list(L.word_chunks(texts[0]))) > 3
+    for t, (lang, score, spans) in zip(texts, whole):
+        got = L.label(t, L.Known(model), L.PENALTY)
+        assert got[0] == lang and got[2] == spans and got[1] == pytest.approx(score)
+
+
+def test_against_plain_python(model):
+    """Scores word by word, all paths' best by a table, votes and probability: nothing shared but the model's numbers."""
+    rng = np.random.default_rng(9)
+    for _ in range(40):
+        words = " ".join(" ".join(rng.choice(WORDS[x].split(), rng.integers(3, 30))) for x in rng.choice(list(WORDS), 3)).lower().split()
+        scores = [model.score([w])[0].astype(float).tolist() for w in words]
+        n = len(model.langs)
+        sums, back = [scores[0]], []
+        for row in scores[1:]:
+            ways = [max((sums[-1][j] - (L.PENALTY if j != k else 0), -j, j) for j in range(n)) for k in range(n)]
+            back.append([w[2] for w in ways])
+            sums.append([w[0] + s for w, s in zip(ways, row)])
+        path = [max(range(n), key=lambda k: sums[-1][k])]
+        for step in reversed(back):
+            path.append(step[path[-1]])
+        path = path[::-1]
+        sure = [any(row) for row in scores]
+        votes = [sum(s and p == k for s, p in zip(sure, path)) for k in range(n)]
+        best = max(range(n), key=lambda k: (votes[k], -k))
+        total = [sum(row[k] for row, s, p in zip(scores, sure, path) if s and p == best) for k in range(n)]
+        chance = 1 / sum(np.exp(min(t - total[best], 50)) for t in total)
+        got = L.label(" ".join(words), L.Known(model), L.PENALTY)
+        assert got[0] == model.langs[best] and got[1] == pytest.approx(chance * votes[best] / sum(votes), abs=1e-6)
+
+
+def test_marks_belong_to_words():
+    assert L.words_of("हिन्दी भाषा, ภาษาไทย! cafe\u0301 x² 12") == ["हिन्दी", "भाषा", "ภาษาไทย", "cafe\u0301", "x"]
+    assert L.words_of("Été x² ½ ² 日本") == ["été", "x²", "日本"] and L.words_of("a_b 1c") == ["a", "b", "c"]
+
+
 def test_nothing_learned(spark):
     none = L.train(spark.createDataFrame([], "doc_id long, text string, lang string"))
     rows = L.identify(spark.createDataFrame([(1, "the house")], "doc_id long, text string"), none).collect()
