@@ -45,6 +45,9 @@ def main(args: list[str] | None = None) -> int:
     if options.tui:
         print("this build has no interactive screens; run without --tui", file=sys.stderr)
         return 2
+    if options.copy:
+        print("this build can't reach a clipboard; run without --copy", file=sys.stderr)
+        return 2
     if show:
         print("\n".join(f"{f.name}: {getattr(options, f.name)}" for f in dataclasses.fields(options)))
         return 0
@@ -52,7 +55,9 @@ def main(args: list[str] | None = None) -> int:
 
     from pagemill.run import run
 
-    run(SparkSession.builder.appName("pagemill").getOrCreate(), options)
+    spark = SparkSession.builder.appName("pagemill").getOrCreate()
+    spark.sparkContext.setLogLevel("INFO" if options.verbose else "WARN")
+    run(spark, options)
     return 0
 
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill import scratch
 from pagemill.functions import expressions as E
 
 #: Pages of a crawl that names no number, and its depth.
@@ -19,30 +21,52 @@ def bfs(edges: DataFrame, start: DataFrame, max_depth: int = DEPTH, cap: int | N
 
     edges (src, pos, dst): links in page order. start (root, node): a row per crawl; crawls of many roots go on at once.
     good (node): pages that can be fetched; others count as seen but are neither returned nor followed. cap: visited
-    good pages of a root at most. Each level is one join with the links and one anti-join with what was seen. cut cuts
-    the lineage between levels, e.g. by writing a table.
+    good pages of a root at most; a level is cut off there, and roots that have as many go no further. Each level is one
+    join with the links and one anti-join with the levels before it. cut writes a level, so lineage ends there and no
+    level is computed or written twice. Levels are ranked by their place in range partitions, so that one root's large
+    front is no single task.
     """
-    cut = cut or (lambda df: df)
-    level = start.select("root", "node", F.lit(0).alias("depth"), F.lit(1).cast("long").alias("rank"))
-    seen = level
-    depth = 0
-    while depth < max_depth:
-        front = seen.where(F.col("depth") == depth)
-        if good is not None:
-            front = front.join(good, "node", "left_semi")
+    cut = cut or scratch.cut
+    levels = [cut(start.select("root", "node", F.lit(0).alias("depth"), F.lit(1).cast("long").alias("rank")))]
+    kept = [_good(levels[0], good)]
+    for depth in range(1, max_depth + 1):
+        front, seen = kept[-1], reduce(DataFrame.unionByName, levels)
+        if cap is not None:
+            counts = reduce(DataFrame.unionByName, kept).groupBy("root").agg(F.count("*").alias("_have"))
+            front = front.join(counts.where(F.col("_have") < cap).select("root"), "root", "left_semi")
         found = front.join(edges, front["node"] == edges["src"]).select("root", F.col("dst").alias("node"), F.struct("rank", "pos").alias("via"))
-        found = found.join(seen.select("root", "node"), ["root", "node"], "left_anti").groupBy("root", "node").agg(F.min("via").alias("via"))
+        found = found.groupBy("root", "node").agg(F.min("via").alias("via")).join(seen.select("root", "node"), ["root", "node"], "left_anti")
+        placed = _ranked(cut(found.repartitionByRange("root", "via").sortWithinPartitions("root", "via").withColumn("_row", F.monotonically_increasing_id())))
         before = seen.groupBy("root").agg(F.max("rank").alias("_before"))
-        order = F.row_number().over(Window.partitionBy("root").orderBy("via")) + F.col("_before")
-        level = found.join(before, "root").select("root", "node", F.lit(depth + 1).alias("depth"), order.cast("long").alias("rank"))
-        seen = cut(seen.unionByName(level))
-        depth += 1
-        if seen.where(F.col("depth") == depth).isEmpty():
+        level = placed.join(before, "root").select("root", "node", F.lit(depth).alias("depth"), (F.col("_place") + F.col("_before")).cast("long").alias("rank"))
+        level = cut(level)
+        if level.isEmpty():
             break
-    visited = seen if good is None else seen.join(good, "node", "left_semi")
-    if cap is not None:
-        visited = visited.withColumn("_k", F.row_number().over(Window.partitionBy("root").orderBy("rank"))).where(F.col("_k") <= cap).drop("_k")
-    return visited.select("root", "node", "depth", "rank")
+        own = _good(level, good)
+        if cap is not None:
+            own = _first(own, counts, cap, cut)
+        levels.append(level)
+        kept.append(own)
+    return reduce(DataFrame.unionByName, kept).select("root", "node", "depth", "rank")
+
+
+def _good(level: DataFrame, good: DataFrame | None) -> DataFrame:
+    return level if good is None else level.join(good, "node", "left_semi").select(level.columns)
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """rows (root, ..., _row), range-partitioned and sorted by root: adds _place, from 1 within each root."""
+    part = F.shiftright("_row", 33)
+    first = rows.groupBy("root", part.alias("_part")).agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    first = first.withColumn("_base", F.sum("_n").over(Window.partitionBy("root").orderBy("_part")) - F.col("_n"))  # a row per partition
+    joined = rows.withColumn("_part", part).join(first.drop("_n"), ["root", "_part"])
+    return joined.withColumn("_place", F.col("_row") - F.col("_first") + 1 + F.col("_base")).drop("_part", "_first", "_base", "_row")
+
+
+def _first(level: DataFrame, counts: DataFrame, cap: int, cut) -> DataFrame:
+    """The pages of a level that a root still has room for, by rank."""
+    rows = cut(level.repartitionByRange("root", "rank").sortWithinPartitions("root", "rank").withColumn("_row", F.monotonically_increasing_id()))
+    return _ranked(rows).join(counts, "root").where(F.col("_place") + F.col("_have") <= cap).select(level.columns)
 
 
 def dfs(edges: DataFrame, max_depth: int = DEPTH, cap: int | None = PAGES) -> DataFrame:

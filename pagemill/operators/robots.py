@@ -11,7 +11,7 @@ from pagemill.functions import expressions as E
 from pagemill.functions import robots
 
 
-RULE = T.StructType([T.StructField("allow", T.BooleanType()), T.StructField("pattern", T.StringType()), T.StructField("regex", T.StringType())])
+RULE = T.StructType([T.StructField("allow", T.BooleanType()), T.StructField("length", T.IntegerType()), T.StructField("parts", T.ArrayType(T.StringType())), T.StructField("anchored", T.BooleanType())])
 
 
 @F.arrow_udf(T.StructType([T.StructField("rules", T.ArrayType(RULE)), T.StructField("delay", T.DoubleType()), T.StructField("sitemaps", T.ArrayType(T.StringType()))]))
@@ -19,11 +19,29 @@ def parse_robots(body: pa.Array) -> pa.Array:
     out = []
     for text in body.to_pylist():
         r = robots.parse(text)
-        out.append({"rules": [{"allow": a, "pattern": p, "regex": robots.to_regex(p)} for a, p in r.rules], "delay": r.delay, "sitemaps": r.sitemaps})
-    rule = pa.struct([("allow", pa.bool_()), ("pattern", pa.string()), ("regex", pa.string())])
+        rules = [(a, len(p), *robots.pieces(p)) for a, p in r.rules]
+        out.append({"rules": [dict(zip(("allow", "length", "parts", "anchored"), rule)) for rule in rules], "delay": r.delay, "sitemaps": r.sitemaps})
+    rule = pa.struct([("allow", pa.bool_()), ("length", pa.int32()), ("parts", pa.list_(pa.string())), ("anchored", pa.bool_())])
     return pa.array(out, pa.struct([("rules", pa.list_(rule)), ("delay", pa.float64()), ("sitemaps", pa.list_(pa.string()))]))
 
 
+def _fits(path: Column, rule: Column) -> Column:
+    """functions.robots.matches as an expression: a fold over the pieces, whose state is the place after the last one (1
+    is the start), or 0 once a piece is missing. Linear in the path, whatever the pattern."""
+    parts, last = rule["parts"], F.element_at(rule["parts"], -1)
+    many = F.size(parts) > 1
+
+    def step(at: Column, part: Column) -> Column:
+        found = F.position(part, path, at)
+        return F.when(part == "", at).when((at > 0) & (found > 0), found + F.length(part)).otherwise(F.lit(0))
+
+    inner = F.slice(parts, F.lit(2), F.size(parts) - 1 - (rule["anchored"] & many).cast("int"))
+    start = F.when(F.startswith(path, parts[0]), F.length(parts[0]) + 1).otherwise(F.lit(0))
+    at = F.aggregate(inner, start, step)
+    tail = F.when(many, F.endswith(path, last) & (F.length(path) - at + 1 >= F.length(last))).otherwise(at == F.length(path) + 1)
+    return (at > 0) & (~rule["anchored"] | tail)
+
+
 def parsed(bodies: DataFrame) -> DataFrame:
     """(origin, body) -> (origin, rules, delay, sitemaps), a row per origin; a null body restricts nothing."""
     return bodies.withColumn("_r", parse_robots("body")).select("origin", "_r.rules", "_r.delay", "_r.sitemaps")
@@ -40,8 +58,9 @@ def allowed(urls: DataFrame, robots_table: DataFrame, url: str = "url") -> DataF
     keyed = urls.withColumn("_origin", E.url_origin(F.col(url)))
     met = keyed.join(robots_table.select(F.col("origin").alias("_origin"), "rules"), "_origin", "left")
     path = path_of(F.col(url))
-    hits = F.filter(F.coalesce("rules", F.array().cast("array<struct<allow:boolean,pattern:string,regex:string>>")), lambda r: F.regexp_like(path, r["regex"]))
-    best = F.array_max(F.transform(hits, lambda r: F.struct(F.length(r["pattern"]).alias("n"), r["allow"].alias("allow"))))
+    none = F.array().cast("array<struct<allow:boolean,length:int,parts:array<string>,anchored:boolean>>")
+    hits = F.filter(F.coalesce("rules", none), lambda r: _fits(path, r))
+    best = F.array_max(F.transform(hits, lambda r: F.struct(r["length"].alias("n"), r["allow"].alias("allow"))))
     return met.withColumn("allowed", F.coalesce(best["allow"], F.lit(True))).drop("_origin", "rules")
 
 

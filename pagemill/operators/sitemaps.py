@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill import scratch
 from pagemill.functions import expressions as E
 from pagemill.functions.udfs import gunzip, sitemap_locations, url_normalise
 
@@ -39,22 +40,30 @@ def located(documents: DataFrame) -> DataFrame:
 def collect_urls(documents: DataFrame, seed_urls: list[str], base_host: str, match: str | None = None, limit: int | None = None, most: int = MOST_MAPS) -> DataFrame:
     """(ord, url): pages of all sitemaps reachable from the seeds, in the order of a last-in-first-out walk.
 
-    documents holds fetched sitemaps (url, body); a missing one counts as a failure. The walk's order is a property of
-    at most ``most`` maps, so the driver follows names of maps alone (one small row each); pages never leave the
-    executors.
+    documents holds fetched sitemaps (url, body); a missing one counts as a failure. They are parsed once. The walk's order
+    is a property of at most ``most`` maps, so the driver follows names of maps alone: each round brings the children of
+    all maps that are known but not yet read, as many as can still be walked. Pages never leave the executors.
     """
     spark = documents.sparkSession
-    parsed = located(documents)
+    parsed = scratch.cut(located(documents), "sitemaps")
+    subs: dict[str, list[str] | None] = {}
+
+    def read(names: list[str]) -> None:
+        wanted = [n for n in dict.fromkeys(names) if n not in subs][-most:]
+        subs.update(dict.fromkeys(wanted))
+        subs.update((r["url"], r["subs"]) for r in parsed.where(F.col("url").isin(wanted)).select("url", "subs").collect())
+
     stack, visited, order = list(seed_urls), set(), []
     while stack and len(visited) < most:
         now = stack.pop()
         if now in visited:
             continue
         visited.add(now)
-        row = parsed.where(F.col("url") == now).select("subs").first()
-        if row is not None:
+        if now not in subs:
+            read([*stack, now])
+        if subs[now] is not None:
             order.append(now)
-            stack.extend(s for s in row["subs"] if s not in visited)
+            stack.extend(s for s in subs[now] if s not in visited)
     names = spark.createDataFrame([(u, k) for k, u in enumerate(order)], "url string, map_ix int")
     pages = parsed.join(F.broadcast(names), "url").select("map_ix", F.posexplode("urls").alias("pos", "page"))
     pages = pages.withColumn("url", url_normalise("page")).where("url IS NOT NULL")

@@ -50,13 +50,17 @@ def page_links_resolved(spark, d):
     return parsed_table(spark, d, "pages").select("page_id", F.posexplode(joined).alias("pos", "link"))
 
 
-@plan("strip_chrome", "SELECT page_id, md5(regexp_replace(html, '(?is)<(nav|footer|aside|form|style|script|noscript|button)\\b[^>]*>.*?</(nav|footer|aside|form|style|script|noscript|button)>', '', 'g')) AS digest FROM pages")
+#: Chrome elements that hold no others.
+SQL_CHROME = "SELECT page_id, md5(regexp_replace(html, '(?is)<(nav|footer|aside|form|style|script|noscript|button)\\b[^>]*>.*?</(nav|footer|aside|form|style|script|noscript|button)>', '', 'g')) AS digest FROM pages"
+
+
+@plan("strip_chrome", SQL_CHROME)
 def strip_chrome(spark, d):
     """The whole operator; on pages without nested chrome it equals the regular expression."""
     return parsed_table(spark, d, "pages").select("page_id", F.md5(udfs.html_strip_chrome("html")).alias("digest"))
 
 
-@plan("strip_chrome_simple", "SELECT page_id, md5(regexp_replace(html, '(?is)<(button|nav|footer|aside|form|style|script|noscript)\\b[^>]*>.*?</(nav|footer|aside|form|style|script|noscript|button)>', '', 'g')) AS digest FROM pages")
+@plan("strip_chrome_simple", SQL_CHROME)
 def strip_chrome_simple(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(E.strip_chrome_simple(F.col("html"))).alias("digest"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from pagemill import schema
@@ -13,6 +15,12 @@ from pagemill.sinks import files
 from pagemill.sources import site
 
 
+def links_of(html: str | None) -> list[str]:
+    """functions.expressions.hrefs of one text."""
+    found = re.findall(E.HREF, html or "")
+    return [h for h in found if h and not re.match(r"#|javascript:|mailto:", h)]
+
+
 def pages(spark: SparkSession, options: Options) -> DataFrame:
     """PAGE rows of a single page, a site or a deep crawl."""
     options = options.normalised()
@@ -25,7 +33,7 @@ def pages(spark: SparkSession, options: Options) -> DataFrame:
         return good_pages(transform_pages(site.site(spark, options), options))
     if options.deep:
         def one(raw: dict):
-            links = [u for r in spark.createDataFrame([(raw["html"],)], "html string").select(E.hrefs("html").alias("h")).collect() for x in r["h"] if (u := urls.join(raw["final_url"], x))]
+            links = [u for x in links_of(raw["html"]) if (u := urls.join(raw["final_url"], x))]
             try:
                 document(raw["html"], raw["final_url"], options)
             except (LookupError, ValueError):

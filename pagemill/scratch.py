@@ -8,8 +8,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The setting that says into how many tasks a scan is dealt out before work that the CPU bounds; unset: as it is.
+TASKS = "spark.pagemill.scanTasks"
+
 
 def folder(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; only a local session without one uses the machine's own temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         master = spark.sparkContext.master
@@ -20,10 +24,9 @@ def folder(spark: SparkSession, label: str) -> str:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """A scan with fewer splits than cores, as of one small file, dealt out for work that the CPU bounds; others as they
-    are. Large tables have more splits than cores and aren't shuffled."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    """A scan dealt out into as many tasks as TASKS says, for tables of one small file; large ones have splits enough."""
+    tasks = scan.sparkSession.conf.get(TASKS, None)
+    return scan.repartition(int(tasks)) if tasks else scan
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:

@@ -4,32 +4,27 @@ import pytest
 
 from pagemill.functions import codelang, html, markdown, readability, relevance, selectors
 
-PAGE = """<!doctype html>
-<html><head><title>Start</title><style>.y{margin:0}</style></head>
-<body>
-  <nav class="top"><a href="/guide">Guide</a><a href="/news">News</a></nav>
-  <aside class="toc"><a href="/guide/b">B</a></aside>
-  <main>
-    <header><h1>First Steps</h1></header>
-    <article>
-      <p>Set up with <code>make all</code>.</p>
-      <table><tr><th>Option</th><th>Effect</th></tr><tr><td>-q</td><td>quiet</td></tr></table>
-    </article>
-  </main>
-  <form><input name="s"></form>
-  <footer>© 2030</footer>
-  <script>track("x")</script>
-  <noscript>needs scripts</noscript>
-</body></html>
+PAGE = """<html lang="en"><head><meta charset="utf-8"><title>Bread at home</title>
+<script type="application/ld+json">{"hidden": true}</script></head><body>
+<div class="wrap">
+<form action="/search"><input name="q"><button>Look up</button></form>
+<section id="recipe"><h2>Dough</h2>
+<p>Mix <b>500 g</b> of flour with <a href="water.html">lukewarm water</a>, then wait.</p>
+<ol><li>Knead for ten minutes</li><li>Rest for an hour, or <a href="https://rest.example/why">longer</a></li></ol>
+<figure><img src="/img/loaf.jpg" alt="A loaf"></figure>
+<blockquote>Slow dough tastes better.</blockquote>
+<pre><code>hydration = water / flour</code></pre></section>
+<aside><a href="/shop">Our shop</a></aside></div>
+<nav><ul><li><a href="/">Home</a></li></ul></nav><style>p{color:red}</style></body></html>
 """
-TABLE = "| Option | Effect |\n| ------ | ------ |\n| -q     | quiet  |\n"
+DOUGH = "## Dough\n\nMix **500 g** of flour with {0}, then wait.\n\n1. Knead for ten minutes\n2. Rest for an hour, or {1}\n\n![A loaf](/img/loaf.jpg)\n\n> Slow dough tastes better.\n\n```\nhydration = water / flour\n```\n"
 
 
 def test_chrome_goes_and_content_stays():
     out = html.strip_chrome(PAGE)
-    for gone in ("top", "toc", "track", "© 2030", "needs scripts", "margin:0"):
+    for gone in ("hidden", "Look up", "Our shop", "Home", "color:red"):
         assert gone not in out
-    for stays in ("First Steps", "make all", "<table"):
+    for stays in ("Bread at home", "Knead", "<blockquote"):
         assert stays in out
     assert html.strip_chrome(out) == out
 
@@ -42,21 +37,19 @@ def test_chrome_nested_and_unclosed():
 
 
 def test_golden_default():
-    assert markdown.convert(html.strip_chrome(PAGE)) == f"Start\n\n# First Steps\n\nSet up with `make all`.\n\n{TABLE}"
+    assert markdown.convert(html.strip_chrome(PAGE)) == "Bread at home\n\n" + DOUGH.format("[lukewarm water](water.html)", "[longer](https://rest.example/why)")
 
 
 def test_golden_main_content():
     title, content = readability.prune(PAGE)
-    assert title == "Start"
-    assert markdown.convert(content) == f"Set up with `make all`.\n\n{TABLE}"
+    assert title == "Bread at home"
+    md = markdown.convert(content)
+    assert "Knead for ten minutes" in md and "hydration = water / flour" in md and "Our shop" not in md
 
 
 def test_golden_citations():
-    out = markdown.cite(markdown.convert(PAGE), "https://e.com/guide/start", True)
-    assert out == (
-        f"Start\n\nGuide[1]News[2]\n\nB[3]\n\n# First Steps\n\nSet up with `make all`.\n\n{TABLE}\n© 2030\n\nneeds scripts\n\n\n"
-        "## References\n\n[1]: https://e.com/guide\n[2]: https://e.com/news\n[3]: https://e.com/guide/b\n"
-    )
+    out = markdown.cite(markdown.convert(html.strip_chrome(PAGE)), "https://bake.example/bread/dough", True)
+    assert out == "Bread at home\n\n" + DOUGH.format("lukewarm water[1]", "longer[2]") + "\n\n## References\n\n[1]: https://bake.example/bread/water.html\n[2]: https://rest.example/why\n"
 
 
 @pytest.mark.parametrize(("source", "md"), [
@@ -90,11 +83,11 @@ def test_fences_with_several_blocks():
 
 
 def test_citations():
-    cite = lambda md: markdown.cite(md, "https://e.com/d/i")
-    assert cite("[a](/x) then [b](/x) then [c](/y)") == "a[1] then b[1] then c[2]"
-    assert cite("![alt](/p.png) and [l](/x)") == "![alt](/p.png) and l[1]"
-    assert cite("use `arr[0](x)` here") == "use `arr[0](x)` here"
-    assert cite("[a](has blank) [") == "[a](has blank) ["
+    cite = lambda md: markdown.cite(md, "https://bake.example/bread/dough")
+    assert cite("[oven](../oven) or [stove](/stove), then [that oven](/oven)") == "oven[1] or stove[2], then that oven[1]"
+    assert cite("![a loaf](loaf.jpg) beside [its recipe](?id=7)") == "![a loaf](loaf.jpg) beside its recipe[1]"
+    assert cite("call `bake[2](loaf)` twice") == "call `bake[2](loaf)` twice"
+    assert cite("[no target] and [two words](not a link) [") == "[no target] and [two words](not a link) ["
 
 
 def test_blank_lines():
@@ -103,8 +96,8 @@ def test_blank_lines():
 
 
 @pytest.mark.parametrize(("selector", "found"), [
-    ("main article p", 1), ("main > article", 1), ("td", 2), ("th + th", 1), ("nav ~ main", 1), ("[class^='to']", 2), (".top a, .toc a", 3), ("a[href='/news']", 1),
-    ("#none", 0), ("tr:nth-child(2) td:last-child", 1), ("p:not(.x)", 1), ("*:root", 1), ("a:first-child", 2),
+    ("section ol li", 2), ("body > div > section", 1), ("h2 + p", 1), ("h2 ~ blockquote", 1), ("a[href^='https']", 1), ("aside a, nav a", 2), ("a[href='/shop']", 1),
+    ("#recipe", 1), ("#none", 0), ("ol li:nth-child(2) a", 1), ("p:not(.x)", 1), ("*:root", 1), ("li:first-child", 2), (".wrap img[alt]", 1), ("li:last-child", 2),
 ])
 def test_selectors(selector, found):
     assert len(selectors.select(html.parse(PAGE), selector)) == found
@@ -138,7 +131,8 @@ def test_prune_picks_prose_over_link_lists():
     ('package main\n\nimport "fmt"\n\nfunc main() {\n}', "go"), ("SELECT a FROM t WHERE b = 1;", "sql"), ('{\n  "a": "x",\n  "b": ["y"]\n}', "json"), ('["a", "b"]', "json"),
     ("<!DOCTYPE html>\n<p>", "html"), ("---\na: b\nc:\n  - d\n", "yaml"), ("body {\n  margin: 0;\n  padding: 0;\n}", "css"), ("npm i -g x", "bash"), ("cd p && make", "bash"),
     ("export A=b", "bash"), ("#include <iostream>\nint main() {\n  std::cout << 1;\n}", "cpp"), ("FROM node\nWORKDIR /a\nRUN x", "dockerfile"),
-    ("hi", None), ("", None), (None, None), ("foo\n", None), ("A_TOKEN=123\n", None), ("plain words here", None),
+    ("hi", None), ("", None), (None, None), ("foo\n", None), ("A_TOKEN=123\n", None), ("plain words here", None), ("a=b run me", None), ("PORT=80 serve", "bash"), ("export", "bash"), ("export PATH", "bash"),
+    ('{"a": 1, /* x */\n"b": 2}', None), ('{"a": 1,\n"b": [2}', None), ("template <class T>\nT f();", "cpp"),
 ])
 def test_code_language(body, language):
     assert codelang.guess_language(body) == language
