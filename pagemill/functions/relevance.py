@@ -1,4 +1,4 @@
-"""BM25 over the blocks of one document: the row-wise form of operators.relevance."""
+"""BM25 over the blocks of one document: statistics and scores stay within it, so a corpus needs no shuffle."""
 
 from __future__ import annotations
 
@@ -49,23 +49,32 @@ def split_blocks(md: str) -> list[str]:
     return [parts[k - 1] + "\n\n" + p if k and heading[k - 1] and not heading[k] else p for k, p in enumerate(parts) if not heading[k] or k == len(parts) - 1]
 
 
-def filter_blocks(md: str, query: str | None, keep: float = KEEP) -> str:
-    """The best max(1, round(n * keep)) blocks in document order; all of them for a blank query or a share of 1."""
-    if not query or not query.strip() or keep >= 1:
-        return md
-    blocks = split_blocks(md)
-    if len(blocks) <= 1:
-        return md
+def scores(blocks: list[str], query: str) -> list[float]:
+    """BM25 of each block against the query, with statistics of these blocks alone."""
     bags = [Counter(terms(b)) for b in blocks]
     lengths = [sum(c.values()) for c in bags]
-    mean = sum(lengths) / len(blocks) or 1.0
-    scores = [0.0] * len(blocks)
+    mean = sum(lengths) / max(len(blocks), 1) or 1.0
+    out = [0.0] * len(blocks)
     for term in terms(query):
         df = sum(term in bag for bag in bags)
         idf = math.log(1 + (len(blocks) - df + 0.5) / (df + 0.5))
         for k, bag in enumerate(bags):
             if tf := bag[term]:
-                scores[k] += idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[k] / mean))
-    n = max(1, math.floor(len(blocks) * keep + 0.5))
-    best = sorted(sorted(range(len(blocks)), key=lambda k: (-scores[k], k))[:n])
-    return "\n\n".join(blocks[k] for k in best) + "\n"
+                out[k] += idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[k] / mean))
+    return out
+
+
+def best_blocks(found: list[float], keep: float = KEEP) -> list[int]:
+    """The best max(1, round(n * keep)) of n scores, in document order; equal ones (to 9 digits) go to the earlier."""
+    n = max(1, math.floor(len(found) * keep + 0.5))
+    return sorted(sorted(range(len(found)), key=lambda k: (-round(found[k], 9), k))[:n])
+
+
+def filter_blocks(md: str, query: str | None, keep: float = KEEP) -> str:
+    """The best blocks in document order; all of them for a blank query or a share of 1."""
+    if not query or not query.strip() or keep >= 1:
+        return md
+    blocks = split_blocks(md)
+    if len(blocks) <= 1:
+        return md
+    return "\n\n".join(blocks[k] for k in best_blocks(scores(blocks, query), keep)) + "\n"

@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.functions import charset, codelang, html, markdown, readability, selectors, sitemap, urls
+from pagemill.functions import charset, codelang, html, markdown, readability, relevance, selectors, sitemap, urls
 
 
 def _strings(fn: Callable):
@@ -31,6 +31,18 @@ html_to_md = _strings(lambda text, no_links=False, no_images=False: markdown.con
 md_fences = _strings(markdown.tag_fences)
 md_citations = _strings(lambda md, base, refs=False: markdown.cite(md, base, bool(refs)))
 guess_code_language = _strings(codelang.guess_language)
+md_filter = _strings(lambda md, query: relevance.filter_blocks(md, query))
+_block = T.StructType().add("block", T.StringType()).add("score", T.DoubleType())
+
+
+@F.arrow_udf(T.ArrayType(_block))
+def md_blocks(md: pa.Array, query: pa.Array) -> pa.Array:
+    """Blocks of a document in order, and their BM25 against the query."""
+    out = []
+    for text, q in zip(md.to_pylist(), query.to_pylist()):
+        blocks = None if text is None else relevance.split_blocks(text)
+        out.append(None if blocks is None else [{"block": b, "score": s} for b, s in zip(blocks, relevance.scores(blocks, q or ""))])
+    return pa.array(out, pa.list_(pa.struct([("block", pa.string()), ("score", pa.float64())])))
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
@@ -72,6 +84,6 @@ class SitemapLocs:
 
 def register(spark: SparkSession) -> None:
     """Makes the functions usable from SQL."""
-    for name in ("url_normalise", "url_join", "html_strip_chrome", "html_scope", "html_prune", "html_to_md", "md_fences", "md_citations", "guess_code_language", "url_join_all", "decode_body", "gunzip", "sitemap_locations"):
+    for name in ("url_normalise", "url_join", "html_strip_chrome", "html_scope", "html_prune", "html_to_md", "md_fences", "md_citations", "md_filter", "md_blocks", "guess_code_language", "url_join_all", "decode_body", "gunzip", "sitemap_locations"):
         spark.udf.register(name, globals()[name])
     spark.udtf.register("sitemap_locs", SitemapLocs)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagemill import scratch
 from pagemill.functions import expressions as E
-from pagemill.operators import corpus, crawl, progress, relevance, robots, sitemaps
-from pagemill.plans.common import SQL_FILE, SQL_HOST, SQL_PAGES, SQL_PATH, SQL_TITLE, plan, simple_pages, table
+from pagemill.functions import udfs
+from pagemill.functions.relevance import STOP
+from pagemill.operators import corpus, crawl, progress, robots, sitemaps
+from pagemill.plans.common import SQL_FILE, SQL_HOST, SQL_PAGES, SQL_PATH, SQL_TITLE, parsed_table, plan, simple_pages, table
 from pagemill.streaming import pages as streams
 
 HOST = "example.com"
@@ -107,28 +110,50 @@ def json_lines(spark, d):
 
 # ---------------------------------------------------------------- BM25
 
-QUERY = ["the", "la", "und"]
-SQL_BLOCKS = r"""b0 AS (SELECT doc_id, generate_subscripts(l, 1)::INT - 1 AS ix, unnest(l) AS part FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda p: regexp_replace(p, '\A\s+|\s+\z', '', 'g')), lambda p: p <> '') AS l FROM documents)),
+#: A question with a stop word, short words, and words that stemming changes; its terms after both.
+QUERY, TERMS = "The stones and la und waters", ("stone", "la", "und", "water")
+STOP_LIST = ", ".join(f"'{w}'" for w in sorted(STOP))
+SQL_VOWEL = "regexp_matches({x}, '[aeiouy]')"
+SQL_SHORTER = "(CASE WHEN {x} LIKE '%at' OR {x} LIKE '%bl' OR {x} LIKE '%iz' THEN {x} || 'e' WHEN length({x}) > 2 AND right({x}, 1) = substr({x}, length({x}) - 1, 1) AND NOT contains('lsz', right({x}, 1)) THEN left({x}, length({x}) - 1) ELSE {x} END)"
+#: Porter's first step on words of three ASCII letters or more, in three parts; other words are marked and stay.
+SQL_STEMS = [
+    "CASE WHEN length(w) <= 2 OR regexp_matches(w, '[^\\x00-\\x7F]') THEN chr(1) || w WHEN w LIKE '%sses' OR w LIKE '%ies' THEN left(w, length(w) - 2) WHEN w LIKE '%s' AND w NOT LIKE '%ss' THEN left(w, length(w) - 1) ELSE w END",
+    f"CASE WHEN starts_with(w, chr(1)) THEN w WHEN w LIKE '%eed' THEN CASE WHEN {SQL_VOWEL.format(x='left(w, length(w) - 3)')} THEN left(w, length(w) - 1) ELSE w END WHEN w LIKE '%ed' AND {SQL_VOWEL.format(x='left(w, length(w) - 2)')} THEN {SQL_SHORTER.format(x='left(w, length(w) - 2)')} WHEN w LIKE '%ing' AND {SQL_VOWEL.format(x='left(w, length(w) - 3)')} THEN {SQL_SHORTER.format(x='left(w, length(w) - 3)')} ELSE w END",
+    f"CASE WHEN starts_with(w, chr(1)) THEN substr(w, 2) WHEN w LIKE '%y' AND {SQL_VOWEL.format(x='left(w, length(w) - 1)')} THEN left(w, length(w) - 1) || 'i' ELSE w END",
+]
+SQL_BLOCKS = r"""b0 AS (SELECT doc_id, text, generate_subscripts(l, 1)::INT - 1 AS ix, unnest(l) AS part FROM (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda p: regexp_replace(p, '\A\s+|\s+\z', '', 'g')), lambda p: p <> '') AS l FROM documents)),
 b1 AS (SELECT *, starts_with(part, '#') AND NOT contains(part, chr(10)) AS heading FROM b0),
 b2 AS (SELECT *, lag(heading) OVER w AS after, lag(part) OVER w AS before, lead(ix) OVER w AS next FROM b1 WINDOW w AS (PARTITION BY doc_id ORDER BY ix)),
-b AS (SELECT doc_id, ix, CASE WHEN NOT heading AND coalesce(after, false) THEN before || chr(10) || chr(10) || part ELSE part END AS block FROM b2 WHERE NOT heading OR next IS NULL)"""
-SQL_SCORES = SQL_BLOCKS + ",\nw AS (SELECT *, list_filter(string_split_regex(lower(block), '[^a-z0-9]+'), lambda x: x <> '') AS terms FROM b),\ns AS (SELECT *, len(terms) AS length, " + ", ".join(f"len(list_filter(terms, lambda x: x = '{q}')) AS tf{k}" for k, q in enumerate(QUERY)) + " FROM w),\nn AS (SELECT *, count(*) OVER d AS n, greatest(avg(length) OVER d, 1e-9) AS mean, " + ", ".join(f"sum((tf{k} > 0)::INT) OVER d AS df{k}" for k in range(len(QUERY))) + " FROM s WINDOW d AS (PARTITION BY doc_id)),\nscored AS (SELECT doc_id, ix, block, n, " + " + ".join(f"CASE WHEN tf{k} > 0 THEN ln(1 + (n - df{k} + 0.5::DOUBLE) / (df{k} + 0.5::DOUBLE)) * (tf{k} * 2.2::DOUBLE / (tf{k} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))) ELSE 0.0::DOUBLE END" for k in range(len(QUERY))) + " AS score FROM n)"
+b AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY ix) - 1 AS ix, CASE WHEN NOT heading AND coalesce(after, false) THEN before || chr(10) || chr(10) || part ELSE part END AS block FROM b2 WHERE NOT heading OR next IS NULL)"""
+SQL_SCORES = SQL_BLOCKS + f",\nw0 AS (SELECT *, list_filter(regexp_extract_all(lower(block), '[\\p{{L}}\\p{{N}}_]+'), lambda w: w NOT IN ({STOP_LIST})) AS terms FROM b)"
+for _k, _step in enumerate(SQL_STEMS):
+    SQL_SCORES += f",\nw{_k + 1} AS (SELECT * REPLACE (list_transform(terms, lambda w: {_step}) AS terms) FROM w{_k})"
+SQL_SCORES += ",\ns AS (SELECT *, len(terms) AS length, " + ", ".join(f"len(list_filter(terms, lambda x: x = '{q}')) AS tf{k}" for k, q in enumerate(TERMS)) + " FROM w3),\nn AS (SELECT *, count(*) OVER d AS n, CASE WHEN sum(length) OVER d = 0 THEN 1 ELSE avg(length) OVER d END AS mean, " + ", ".join(f"sum((tf{k} > 0)::INT) OVER d AS df{k}" for k in range(len(TERMS))) + " FROM s WINDOW d AS (PARTITION BY doc_id)),\nscored AS (SELECT doc_id, text, ix, block, n, " + " + ".join(f"CASE WHEN tf{k} > 0 THEN ln(1 + (n - df{k} + 0.5::DOUBLE) / (df{k} + 0.5::DOUBLE)) * tf{k} * 2.2::DOUBLE / (tf{k} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean)) ELSE 0.0::DOUBLE END" for k in range(len(TERMS))) + " AS score FROM n)"
 
 
-@plan("blocks", f"WITH {SQL_BLOCKS} SELECT doc_id, ix, md5(block) AS digest FROM b")
+def _markdown() -> Column:
+    """Texts whose lines are blocks."""
+    return F.replace("text", F.lit("\n"), F.lit("\n\n"))
+
+
+@plan("blocks", f"WITH {SQL_BLOCKS} SELECT doc_id, ix::INT AS ix, md5(block) AS digest FROM b")
 def blocks(spark, d):
-    return relevance.blocks(table(spark, d, "documents"), "doc_id", "text", "\n").select("doc_id", "ix", F.md5("block").alias("digest"))
+    found = parsed_table(spark, d, "documents").select("doc_id", F.posexplode(udfs.md_blocks(_markdown(), F.lit(""))).alias("ix", "b"))
+    return found.select("doc_id", "ix", F.md5("b.block").alias("digest"))
 
 
-@plan("bm25_scores", f"WITH {SQL_SCORES} SELECT doc_id, ix, round(score, 6) AS score FROM scored")
+@plan("bm25_scores", f"WITH {SQL_SCORES} SELECT doc_id, ix::INT AS ix, round(score, 6) AS score FROM scored")
 def bm25_scores(spark, d):
-    found = relevance.blocks(table(spark, d, "documents"), "doc_id", "text", "\n")
-    return relevance.scores(found, "doc_id", QUERY).select("doc_id", "ix", F.round("score", 6).alias("score"))
+    found = parsed_table(spark, d, "documents").select("doc_id", F.posexplode(udfs.md_blocks(_markdown(), F.lit(QUERY))).alias("ix", "b"))
+    return found.select("doc_id", "ix", F.round("b.score", 6).alias("score"))
 
 
-@plan("bm25_filter", f"WITH {SQL_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, ix) AS rank FROM scored) SELECT doc_id, md5(string_agg(block, chr(10) || chr(10) ORDER BY ix)) AS digest FROM r WHERE rank <= greatest(1, round(n * 0.4::DOUBLE)) GROUP BY doc_id")
+@plan("bm25_filter", f"""WITH {SQL_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, ix) AS rank FROM scored),
+k AS (SELECT doc_id, n, string_agg(block, chr(10) || chr(10) ORDER BY ix) || chr(10) AS md FROM r WHERE rank <= greatest(1, floor(n * 0.4::DOUBLE + 0.5)) GROUP BY doc_id, n)
+SELECT doc_id, md5(CASE WHEN n > 1 THEN md ELSE replace(text, chr(10), chr(10) || chr(10)) END) AS digest FROM documents LEFT JOIN k USING (doc_id)""")
 def bm25_filter(spark, d):
-    return relevance.filtered(table(spark, d, "documents"), "doc_id", "text", QUERY, separator="\n").select("doc_id", F.md5("markdown").alias("digest"))
+    """What a run with a question keeps of each text."""
+    return parsed_table(spark, d, "documents").select("doc_id", F.md5(udfs.md_filter(_markdown(), F.lit(QUERY))).alias("digest"))
 
 
 # ---------------------------------------------------------------- robots, politeness, sitemaps, crawls

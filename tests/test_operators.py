@@ -1,18 +1,24 @@
 """DataFrame operators against small inputs, and every query that has SQL against DuckDB."""
 
+import io
 import random
+import re
+import time
 from collections import deque
 
 import duckdb
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill import catalogue
 from pagemill.functions import expressions as E
 from pagemill.functions import relevance as R
+from pagemill.functions import robots as RB
 from pagemill.functions import udfs
-from pagemill.operators import crawl, pages, relevance, sitemaps
+from pagemill.operators import corpus, crawl, pages, robots, sitemaps
 from pagemill.options import Options
+from pagemill.sinks import files
 from pagemill.streaming import pages as streams
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -65,12 +71,59 @@ def test_pipeline_stays_one_projection(spark, sf_dir):
     assert "Exchange" not in plan and plan.count("ArrowEvalPython") <= 2 and plan.count("run(html") == 1
 
 
-def test_relational_blocks_equal_row_wise(spark):
+def test_blocks_as_a_column(spark):
     rng = random.Random(4)
     docs = [(k, "\n\n".join(rng.choice(["# h", "## tea", "tea time", "water", " ", "", "# x\ny"]) for _ in range(rng.randint(0, 8)))) for k in range(60)]
-    found = relevance.blocks(spark.createDataFrame(docs, "id long, text string"), "id", "text").collect()
-    got = {k: [r["block"] for r in sorted((r for r in found if r["id"] == k), key=lambda r: r["ix"])] for k, _ in docs}
-    assert got == {k: R.split_blocks(t) for k, t in docs}
+    df = spark.createDataFrame([*docs, (99, None)], "id long, text string")
+    got = {r["id"]: r["b"] for r in df.select("id", udfs.md_blocks("text", F.lit("tea")).alias("b")).collect()}
+    assert got.pop(99) is None
+    for k, text in docs:
+        assert [x["block"] for x in got[k]] == R.split_blocks(text) and [x["score"] for x in got[k]] == R.scores(R.split_blocks(text), "tea")
+    assert "Exchange" not in df.select(udfs.md_filter("text", F.lit("tea")))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_robots_in_both_forms(spark):
+    rng = random.Random(2)
+    patterns = ["/", "/*", "*", "$", "/$", "/a*$", "/*a$", "/a*b*c", "/**b", "*.pdf$", "/a$b", "/é*"] + ["".join(rng.choice("/ab*") for _ in range(rng.randint(1, 6))) + rng.choice(["", "$"]) for _ in range(60)]
+    paths = ["/"] + ["/" + "".join(rng.choice("abc/é") for _ in range(rng.randint(0, 7))) for _ in range(60)]
+    to_regex = lambda p: "(?s)" + ".*".join(re.escape(x) for x in p.removesuffix("$").split("*")) + (r"\Z" if p.endswith("$") else "")
+    want = {(p, x): re.match(to_regex(p), x) is not None for p in patterns for x in paths}
+    assert {k: RB.matches(*k) for k in want} == want
+    bodies = spark.createDataFrame([(f"https://h{k}.com", f"User-agent: *\nDisallow: {p}") for k, p in enumerate(patterns)], "origin string, body string")
+    urls = spark.createDataFrame([(f"https://h{k}.com{x}", p, x) for k, p in enumerate(patterns) for x in paths], "url string, pattern string, path string")
+    got = robots.allowed(urls, robots.parsed(bodies)).collect()
+    assert {(r["pattern"], r["path"]): not r["allowed"] for r in got} == want
+
+
+def test_hostile_robots_patterns(spark):
+    pattern, path = "/" + "*a" * 40 + "$", "/" + "a" * 20_000 + "b"
+    began = time.perf_counter()
+    assert not RB.matches(pattern, path) and time.perf_counter() - began < 0.01
+    rules = robots.parsed(spark.createDataFrame([("https://e.com", f"User-agent: *\nDisallow: {pattern}")], "origin string, body string"))
+    began = time.perf_counter()
+    assert robots.allowed(spark.createDataFrame([("https://e.com" + path,)] * 50, "url string"), rules).where("allowed").count() == 50
+    assert time.perf_counter() - began < 20  # a regular expression of this pattern never ends
+
+
+def test_numbers_with_nulls_and_hashed_ids(spark):
+    rows = [(None if k % 50 == 0 else hash((k, 1)), f"https://e.com/{k}") for k in range(700)]
+    got = corpus.numbered(spark.createDataFrame(rows, "page_id long, url string").repartition(7)).orderBy("ix").collect()
+    assert [r["ix"] for r in got] == list(range(1, 701)) and {r["total"] for r in got} == {700} and {r["url"] for r in got} == {u for _, u in rows}
+    assert [r["page_id"] for r in got] == sorted((k for k, _ in rows), key=lambda k: (k is not None, k or 0))
+    assert corpus.numbered(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_render_without_gathering(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(DataFrame, "toLocalIterator", None)
+    monkeypatch.setattr(corpus, "_gathered", None)
+    rows = [(k, f"https://e.com/{k}", None if k % 3 else f"T{k}", f"body {k}\n", 3) for k in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, title string, markdown string, tokens long")
+    out = io.StringIO()
+    files.render(df, Options(url="https://e.com"), out)
+    assert out.getvalue() == "\n\n---\n\n".join(f"body {k}" for k in range(40)) + "\n"
+    files.render(df, Options(url="https://e.com", output_dir=str(tmp_path / "o")))
+    text = (tmp_path / "o" / "llms.txt").read_text()
+    assert text.startswith("# e.com\n\n> Total documents: 40 (~120 tokens)\n") and text.count("\n- [") == 40 and len((tmp_path / "o" / "docs.jsonl").read_text().splitlines()) == 40
 
 
 def plain_bfs(links, start, depth, cap):
