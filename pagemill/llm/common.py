@@ -2,33 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.scratch import spread
+from pagemill.scratch import folder, spread
 
 #: ASCII white space as the contracts define it.
 SPACE = r"\x20\x09-\x0D"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: spark.checkpoint.dir, or in local mode a temporary one set here."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
-    made = "file://" + os.path.join(tempfile.gettempdir(), f"pagemill-shared-{os.getuid()}")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/pagemill/{label}-{uuid.uuid4().hex}"
+    """A new path in the folder that the driver and all executors share."""
+    return folder(spark, label)
 
 
 def write_table(df: DataFrame, label: str) -> DataFrame:
@@ -87,5 +72,5 @@ def worker_cache(key, make):
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table documents; a file with fewer splits than cores is dealt out, larger tables aren't shuffled."""
+    """The table documents, dealt out only if the session says so (scratch.TASKS)."""
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -3,6 +3,7 @@ length form a bucket. Each piece is a sequence of its own, so none crosses docum
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -89,6 +90,38 @@ class WordEncoder:
         return ids
 
 
+class TextEncoder:
+    """Any other tokenizer: whole texts, as it takes them."""
+
+    def __init__(self, path: str, end: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.end = Tokenizer.from_file(path), np.array([end], "<u4").tobytes()
+
+    def encode(self, text: str | None) -> bytes:
+        return np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes() + self.end
+
+
+def encoder_for(path: str, end: int) -> WordEncoder | TextEncoder:
+    """By words where the tokenizer's own file says that it composes and lower-cases texts, makes white space blanks and
+    drops it, and has nothing else that looks beyond a word; else by whole texts."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    normal, pre = (spec.get(k) or {} for k in ("normalizer", "pre_tokenizer"))
+    steps = [(x.get("type"), x.get("pattern"), x.get("content")) for x in normal.get("normalizers", [])]
+    cuts = pre.get("pretokenizers", [])
+    words = (
+        steps == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+        and len(cuts) == 2
+        and (cuts[0].get("type"), cuts[0].get("behavior"), cuts[0].get("invert")) == ("Split", "Removed", True)
+        and r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in cuts[0].get("pattern", {}).get("Regex", "")
+        and (cuts[1].get("type"), cuts[1].get("add_prefix_space"), cuts[1].get("use_regex")) == ("ByteLevel", False, False)
+        and spec["model"].get("dropout") is None
+    )
+    return (WordEncoder if words else TextEncoder)(path, end)
+
+
 def pack(docs: DataFrame, tokenizer: str, context: int = 2048, end: int = 1, ids: bool = True) -> DataFrame:
     """docs (doc_id, text, ...) -> one row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset[, ids array<int>]).
@@ -97,7 +130,8 @@ def pack(docs: DataFrame, tokenizer: str, context: int = 2048, end: int = 1, ids
     logarithm in its top byte, so buckets of equal length are ranges of ids, then the partition and a count; it is
     unique, needs no shuffle, and a retried task gives the same ids for the same rows. A null or empty text has the end
     id only, so one piece of length 1; texts of any length are read whole, a slice at a time. Repeated rows get pieces
-    and sequences of their own; other columns are ignored; an empty table gives an empty one.
+    and sequences of their own, so nothing ties; other columns are ignored; an empty table gives an empty one. tokenizer
+    is a tokenizers file; one that works word by word has its words' ids cached, any other takes whole texts.
     """
     if context & (context - 1):
         raise ValueError("context must be a power of two")
@@ -108,7 +142,7 @@ def pack(docs: DataFrame, tokenizer: str, context: int = 2048, end: int = 1, ids
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = worker_cache((tokenizer, end), lambda: WordEncoder(tokenizer, end)), TaskContext.get().partitionId() << 32
+        encoder, part = worker_cache((tokenizer, end), lambda: encoder_for(tokenizer, end)), TaskContext.get().partitionId() << 32
         counts = [(k << 56) + part for k in range(context.bit_length())]
         for batch in batches:
             at, rows, content, size = [], [], [], 0
@@ -157,5 +191,6 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed corpus: every piece with its ids."""
+    """The packed corpus: every piece with its ids. Null and empty texts are one piece of the end id; long texts, repeated
+    rows, clashing columns and empty tables are as in pack()."""
     return pack(docs, tokenizer_path())

@@ -34,6 +34,18 @@ def test_word_encoder_is_the_tokenizer(tokenizer, monkeypatch):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
 
 
+def test_other_tokenizers_take_whole_texts(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert isinstance(P.encoder_for(path, 1), P.TextEncoder) and isinstance(P.encoder_for(P.tokenizer_path(), 1), P.WordEncoder)
+    texts, other = ["Two  words,\nTHREE Words ", "", None, "  Ünï"], Tokenizer.from_file(path)
+    out = P.pack(spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], SCHEMA), path, context=4).collect()
+    for k, text in enumerate(texts):
+        pieces = sorted((r for r in out if r["doc_id"] == k), key=lambda r: r["start"])
+        assert [i for r in pieces for i in r["ids"]] == [*other.encode(text or "", add_special_tokens=False).ids, 1]
+
+
 def test_pack_round_trip(spark, tokenizer):
     rows = [(1, "word salad " * 3000, "x"), (2, None, "x"), (3, "", "x"), (4, "a", "x"), (4, "a", "x"), (None, "b c", "x"), (5, "Ünï cödé.\n" * 40, None)]
     out = P.pack(spark.createDataFrame(rows, SCHEMA), P.tokenizer_path()).collect()
