@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill import scratch
-from pagemill.functions import codelang, sitemap
+from pagemill.functions import sitemap
 from pagemill.functions import expressions as E
 from pagemill.functions.udfs import gunzip, sitemap_locations
 from pagemill.operators import robots, sitemaps
@@ -15,41 +15,11 @@ from pagemill.plans.common import SQL_FILE, SQL_PAGES, plan, simple_pages, table
 from pagemill.sinks import files
 
 
-def _detector(fn):
-    @F.arrow_udf(T.BooleanType())
-    def run(column: pa.Array) -> pa.Array:
-        return pa.array([fn(x.strip()) for x in column.to_pylist()], pa.bool_())
-
-    return run
-
-
 @F.arrow_udf(T.BinaryType())
 def gzipped(column: pa.Array) -> pa.Array:
     return pa.array([sitemap.pack(x) for x in column.to_pylist()], pa.binary())
 
 
-@plan("json_detect", """SELECT doc_id, doc_id % 3 <> 2 AS hit FROM documents""")
-def json_detect(spark, d):
-    """An object of quoted keys and a list of strings are JSON; with a URL in it the object is not."""
-    k = F.col("doc_id") % 3
-    body = F.when(k == 0, F.concat(F.lit('{\n"id": '), F.col("doc_id").cast("string"), F.lit(',\n"lang": "'), "lang", F.lit('"\n}'))).when(k == 1, F.concat(F.lit('["'), "lang", F.lit('", "'), "source", F.lit('"]'))).otherwise(F.concat(F.lit('{\n"url": "https://'), "source", F.lit('",\n"x": 1\n}')))
-    return table(spark, d, "documents").select("doc_id", _detector(codelang.is_json)(body).alias("hit"))
-
-
-@plan("dockerfile_detect", "SELECT doc_id, doc_id % 3 = 0 AS hit FROM documents")
-def dockerfile_detect(spark, d):
-    k = F.col("doc_id") % 3
-    body = F.when(k == 0, F.concat(F.lit("# build\nFROM "), "lang", F.lit(":1\nRUN make\n"))).when(k == 1, F.concat(F.lit("FROM "), "lang")).otherwise(F.lit("Dockerfile\nRUN\n"))
-    return table(spark, d, "documents").select("doc_id", _detector(codelang.is_dockerfile)(body).alias("hit"))
-
-
-@plan("shell_line_detect", "SELECT doc_id, doc_id % 4 < 3 AS hit FROM documents")
-def shell_line_detect(spark, d):
-    k = F.col("doc_id") % 4
-    body = F.when(k == 0, F.concat(F.lit("/usr/bin/curl https://"), "source")).when(k == 1, F.concat(F.lit("export L="), "lang")).when(k == 2, F.concat(F.lit("L="), "lang", F.lit(" run me"))).otherwise(F.concat(F.lit("curl => {"), "lang", F.lit("}")))
-    return table(spark, d, "documents").select("doc_id", _detector(codelang.is_shell_line)(body).alias("hit"))
-
-
 @plan("sitemap_parse", "SELECT page_id, CASE page_id % 2 WHEN 0 THEN 'page' ELSE 'sitemap' END AS kind, url FROM pages")
 def sitemap_parse(spark, d):
     """A document per page, in two shapes, gzipped under a name that doesn't say so, with prefixes and blanks."""

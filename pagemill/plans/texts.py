@@ -107,12 +107,6 @@ def structural_counts(spark, d):
     return table(spark, d, "pages").select("page_id", E.char_count(html, "{}").alias("braces"), E.char_count(html, ";").alias("semicolons"), E.pair_count(html, '">').alias("pairs"))
 
 
-@plan("body_size_guard", "SELECT page_id, strlen(html)::BIGINT AS bytes, CASE WHEN strlen(html) > 4096 THEN 'TooLarge' END AS error FROM pages")
-def body_size_guard(spark, d):
-    size = F.octet_length("html")
-    return table(spark, d, "pages").select("page_id", size.cast("long").alias("bytes"), F.when(size > 4096, F.lit("TooLarge")).alias("error"))
-
-
 @plan("charset_decode", "SELECT doc_id, md5(text) AS digest FROM documents")
 def charset_decode(spark, d):
     """Texts in Latin-1 with a header that says so."""
@@ -158,10 +152,12 @@ def fence_norm(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(udfs.md_fences(md)).alias("digest"))
 
 
-@plan("citations_full", "SELECT doc_id, 'a[1] ' || lang || '[2] c[1]' || chr(10) || chr(10) || '## References' || chr(10) || chr(10) || '[1]: https://example.com/x' || chr(10) || '[2]: https://example.com/d/' || doc_id || chr(10) AS md FROM documents")
+@plan("citations_full", "SELECT doc_id, md5(text || chr(10) || 'see one[1], two[2] and one again[1], `[three](/z)`' || chr(10) || chr(10) || '## References' || chr(10) || chr(10) || '[1]: https://example.com/x?a=' || doc_id || chr(10) || '[2]: https://example.com/d/' || lang || chr(10)) AS digest FROM documents")
 def citations_full(spark, d):
-    md = F.concat(F.lit("[a](/x) ["), "lang", F.lit("]("), F.col("doc_id").cast("string"), F.lit(") [c](https://example.com/x)"))
-    return table(spark, d, "documents").select("doc_id", udfs.md_citations(md, F.lit("https://example.com/d/i"), F.lit(True)).alias("md"))
+    """Whole texts before links: absolute, relative and repeated ones, and one in code."""
+    first = F.concat(F.lit("](/x?a="), F.col("doc_id").cast("string"), F.lit(")"))
+    md = F.concat("text", F.lit("\nsee [one"), first, F.lit(", [two]("), "lang", F.lit(") and [one again"), first, F.lit(", `[three](/z)`"))
+    return parsed_table(spark, d, "documents").select("doc_id", F.md5(udfs.md_citations(md, F.lit("https://example.com/d/i"), F.lit(True))).alias("digest"))
 
 
 @plan("citation_numbers", f"""WITH l AS (SELECT page_id, generate_subscripts(x, 1) AS pos, unnest(x) AS target FROM (SELECT page_id, {SQL_HREFS} AS x FROM pages)), f AS (SELECT page_id, target, min(pos) AS first FROM l GROUP BY ALL)
