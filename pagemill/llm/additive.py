@@ -20,8 +20,9 @@ from pagemill.llm.vectors import matrix, unit, usable
 
 #: Codebooks, codewords in each, beam width, and vectors (of the smallest hashes) that codebooks are fitted on.
 BOOKS, WORDS, BEAM, SAMPLE = 32, 64, 4, 8192
-#: Queries and vectors whose codes meet in one block, about, and bytes of vectors that one block reranks, about.
-QUERIES, ROWS, RERANK_BYTES = 2048, 1 << 16, 64 << 20
+#: Queries of a block, at least (where cores would be idle) and at most; rows whose codes stream past one block, at most;
+#: bytes of vectors that one block reranks, about.
+QUERIES, ROWS, RERANK_BYTES = (256, 2048), 1 << 20, 64 << 20
 #: The shortlist: what is within so many standard errors of the k-th best code, and as many times k rows at least.
 MARGIN, LEAST = 2.5, 4
 
@@ -122,9 +123,9 @@ def shortlist(index: DataFrame, books, good: DataFrame, k: int) -> DataFrame:
     The same rule over all blocks then decides, so the outcome depends on no block's size. Nothing is capped: where very
     many are near one another, all within the margin go on.
     """
-    spark, least = index.sparkSession, LEAST * k
+    least = LEAST * k
     rows, blocks = index.count(), max(1, good.agg(F.max("qb")).first()[0] + 1)
-    row_blocks = max(-(-rows // ROWS), min(-(-rows // 16384), -(-2 * spark.sparkContext.defaultParallelism // blocks)), 1)
+    row_blocks = max(-(-rows // ROWS), 1)
     none = lambda kind: F.lit(None).cast(kind)
     left = good.select("dim", "qb", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb"), F.lit(0).alias("side"), F.col("query_id").alias("id"), F.col("q").alias("no"), F.col("embedding").cast("array<double>").alias("vector"), none("binary").alias("codes"), none("double").alias("scale"), none("double").alias("error"))
     scale, error = F.col("norm") / F.col("sum_norm"), F.col("norm") * F.col("off") / F.sqrt(F.col("dim").cast("double"))
@@ -229,13 +230,14 @@ def search(index: DataFrame, books, queries: DataFrame, k: int = 20) -> DataFram
     kind = index.schema["embedding"].dataType.simpleString()
     good = queries.where(usable(F.col("query_id"), F.col("embedding"))).select(F.monotonically_increasing_id().alias("q"), "query_id", F.size("embedding").alias("dim"), F.col("embedding").cast(kind).alias("embedding"))
     good = write_table(good, "additive-queries")
-    blocks = max(1, -(-good.count() // QUERIES))
+    asked, cores = good.count(), index.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-asked // QUERIES[1]), min(-(-asked // QUERIES[0]), 2 * cores))
     good = good.withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
     if good.isEmpty():
         return good.select("query_id", F.lit(1).alias("rank"), F.col("query_id").alias("vec_id"), F.lit(0.0).alias("score"))
     chosen = write_table(shortlist(index, books, good, k), "additive-chosen")
     most = chosen.groupBy("qb").count().agg(F.max("count")).first()[0] or 0
-    subs = max(1, -(-most * 8 * max(books.value, default=1) // RERANK_BYTES), -(-2 * index.sparkSession.sparkContext.defaultParallelism // blocks))
+    subs = max(1, -(-most * 8 * max(books.value, default=1) // RERANK_BYTES), -(-2 * cores // blocks))
     sub = F.pmod(F.xxhash64("row"), F.lit(subs)).cast("int")
     rows = chosen.groupBy("qb", "row").agg(F.collect_list("q").alias("qs")).join(index.select("row", "vec_id", "embedding"), "row")
     rows = rows.select("qb", sub.alias("sub"), F.size("embedding").alias("dim"), F.lit(1).alias("side"), F.col("vec_id").alias("id"), "embedding", "qs")

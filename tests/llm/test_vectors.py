@@ -205,7 +205,7 @@ def test_blocks_and_recall(spark, monkeypatch):
 
     monkeypatch.setattr(A, "write_table", watched)
     results = []
-    for queries, rows in ((A.QUERIES, A.ROWS), (32, 512)):
+    for queries, rows in ((A.QUERIES, A.ROWS), ((8, 32), 512)):
         monkeypatch.setattr(A, "QUERIES", queries)
         monkeypatch.setattr(A, "ROWS", rows)
         out = A.query(spark, d).toPandas().sort_values(["query_id", "rank"]).reset_index(drop=True)
