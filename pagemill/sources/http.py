@@ -6,8 +6,10 @@ import gzip
 import time
 import urllib.error
 import urllib.request
+from collections import deque
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +22,8 @@ from pagemill.options import Options
 
 #: Bytes of a body at most, unpacked; retries of a retryable status; first pause in seconds, doubled each time.
 MOST_BYTES, RETRIES, PAUSE = 128 << 20, 3, 0.25
+#: Rows that a task reads ahead of the slowest origin.
+MOST_WAITING = 10_000
 USER_AGENT = "pagemill/1.0 (+robots: pagemill)"
 FIELDS = [f.name for f in schema.RAW_PAGE.fields]
 
@@ -99,66 +103,94 @@ def engine(options: Options):
 class Origin:
     """Rules of one origin, fetched once, and when its next request may start."""
 
-    def __init__(self, origin: str, engine: HttpEngine | object, options: Options, clock=time.monotonic, sleep=time.sleep):
-        self.options, self.clock, self.sleep, self.next = options, clock, sleep, 0.0
-        self.rules = robots.Rules()
-        if not options.ignore_robots:
+    def __init__(self, origin: str, options: Options):
+        self.obeyed, self.rules, self.next = not options.ignore_robots, robots.Rules(), 0.0
+        if self.obeyed:
             try:
                 status, _, kind, body = HttpEngine(options).once(f"{origin}/robots.txt")
                 if 200 <= status < 300:
                     self.rules = robots.parse(charset.decode(kind, body))
             except FetchError:
                 pass
+        self.delay = self.rules.delay or 0.0 if self.obeyed and not options.no_delay else 0.0
 
     def check(self, url: str) -> None:
         path = str(url).split("://", 1)[-1]
         path = "/" + path.partition("/")[2].partition("#")[0]
-        if not self.options.ignore_robots and not self.rules.allowed(path):
+        if self.obeyed and not self.rules.allowed(path):
             raise FetchError(schema.ROBOTS, url)
 
-    def wait(self) -> None:
-        delay = self.rules.delay or 0.0
-        if self.options.ignore_robots or self.options.no_delay or delay <= 0:
-            return
-        now = self.clock()
-        if self.next > now:
-            self.sleep(self.next - now)
-        self.next = self.clock() + delay
 
+def fetch_rows(rows: Iterator[dict], options: Options, origins: dict[str, Origin] | None = None) -> Iterator[dict]:
+    """rows (page_id, url) -> RAW_PAGE rows as they are ready; options.concurrency requests in flight.
 
-def fetch_rows(rows: Iterator[dict], options: Options) -> Iterator[dict]:
-    """rows (page_id, url) of whole origins -> RAW_PAGE rows; options.concurrency requests in flight."""
-    fetcher, origins = engine(options), {}
+    Robots rules are fetched once per origin, before its first page. Requests of an origin with a delay start that far
+    apart, and other origins go on meanwhile, as far as MOST_WAITING rows reach. origins holds what is known of origins;
+    who passes it keeps rules and delays from call to call.
+    """
+    fetcher, origins, rows = engine(options), {} if origins is None else origins, iter(rows)
+    lines: dict[str, deque] = {}  # what waits, by origin
+    ready, due = deque(), []  # origins that may go on, and those that may at a time; an origin is in one place
+    running, waiting, more = {}, 0, True
 
-    def one(row: dict) -> dict:
-        out = dict.fromkeys(FIELDS) | {"page_id": row["page_id"], "requested_url": row["url"]}
+    def bare(row: dict) -> dict:
+        return dict.fromkeys(FIELDS) | {"page_id": row["page_id"], "requested_url": row["url"]}
+
+    def failed(row: dict, e: FetchError) -> dict:
+        return bare(row) | {"error": {"kind": e.kind, "detail": e.detail}}
+
+    def one(row: dict, target: str) -> dict:
         try:
-            target = urls.normalise(row["url"])
-            if target is None:
-                raise FetchError(schema.PARSE, str(row["url"]))
-            home = origins[urls.parse(target).origin]
-            home.check(target)
-            home.wait()
-            return out | fetcher.fetch(target)
+            return bare(row) | fetcher.fetch(target)
         except FetchError as e:
-            return out | {"error": {"kind": e.kind, "detail": e.detail}}
+            return failed(row, e)
 
     with ThreadPoolExecutor(options.concurrency) as pool:
-        batch: list[dict] = []
-
-        def flush() -> Iterator[dict]:
-            for row in batch:
-                if (u := urls.parse(row["url"])) is not None and u.origin not in origins:
-                    origins[u.origin] = Origin(u.origin, fetcher, options)
-            slow = any(o.rules.delay for o in origins.values()) and not (options.no_delay or options.ignore_robots)
-            yield from map(one, batch) if slow else pool.map(one, batch)
-            batch.clear()
-
-        for row in rows:
-            batch.append(row)
-            if len(batch) >= 4 * options.concurrency:
-                yield from flush()
-        yield from flush()
+        while more or waiting or running:
+            while more and waiting < MOST_WAITING:
+                if (row := next(rows, None)) is None:
+                    more = False
+                elif (target := urls.normalise(row["url"])) is None:
+                    yield failed(row, FetchError(schema.PARSE, str(row["url"])))
+                else:
+                    origin, waiting = urls.parse(target).origin, waiting + 1
+                    if origin not in lines:
+                        lines[origin] = deque()
+                        ready.append(origin)
+                    lines[origin].append((row, target))
+            while due and due[0][0] <= time.monotonic():
+                ready.append(heappop(due)[1])
+            while ready and len(running) < options.concurrency:
+                origin = ready.popleft()
+                home, line = origins.get(origin), lines[origin]
+                if home is None:
+                    running[pool.submit(Origin, origin, options)] = origin
+                    continue
+                if home.next > time.monotonic():
+                    heappush(due, (home.next, origin))
+                    continue
+                (row, target), waiting = line.popleft(), waiting - 1
+                try:
+                    home.check(target)
+                    home.next = time.monotonic() + home.delay
+                    running[pool.submit(one, row, target)] = None
+                except FetchError as e:
+                    yield failed(row, e)
+                if line:
+                    ready.append(origin)
+                else:
+                    del lines[origin]
+            pause = max(0.0, due[0][0] - time.monotonic()) if due else None
+            if running:
+                for found in wait(running, pause, FIRST_COMPLETED).done:
+                    origin = running.pop(found)
+                    if origin is None:
+                        yield found.result()
+                    else:
+                        origins[origin] = found.result()
+                        ready.append(origin)
+            elif pause and not ready:
+                time.sleep(pause)
 
 
 def fetch_pages(targets: DataFrame, options: Options) -> DataFrame:

@@ -132,7 +132,7 @@ def test_body_cap():
 
 
 def test_politeness(server):
-    rows = list(H.fetch_rows(iter([{"page_id": k, "url": server.base + p} for k, p in enumerate(("/a", "/private/x", "/b"))]), Options()))
+    rows = sorted(H.fetch_rows(iter([{"page_id": k, "url": server.base + p} for k, p in enumerate(("/a", "/private/x", "/b"))]), Options()), key=lambda r: r["page_id"])
     assert [r["status"] for r in rows] == [200, None, 200] and rows[1]["error"]["kind"] == "Robots"
     assert server.hits.count("/robots.txt") == 1
     assert [r["status"] for r in H.fetch_rows(iter([{"page_id": 0, "url": server.base + "/private/x"}]), Options(ignore_robots=True))] == [200]
@@ -145,6 +145,38 @@ def test_crawl_delay(server):
     assert time.monotonic() - began >= 0.1
 
 
+def test_slow_origin_holds_up_no_other(server):
+    """Rows come as they are ready: an origin with a delay goes on while others are done."""
+    slow, fast = Server(), server
+    slow.pages = {"/a": ("text/html", b"<p>a</p>"), "/robots.txt": ("text/plain", b"User-agent: *\nCrawl-delay: 0.3")}
+    rows = [{"page_id": k, "url": f"{(slow if k < 3 else fast).base}/a"} for k in range(23)] + [{"page_id": 23, "url": None}, {"page_id": 24, "url": f"{slow.base}/a"}]
+    began = time.monotonic()
+    got = [r["page_id"] for r in H.fetch_rows(rows, Options(concurrency=2))]
+    assert time.monotonic() - began >= 0.9 and sorted(got) == list(range(25)) and got[-3:] == [1, 2, 24]
+    assert slow.hits.count("/robots.txt") == fast.hits.count("/robots.txt") == 1
+    slow.shutdown()
+
+
+def test_deep_crawl_keeps_rules_and_delay(server):
+    server.pages["/robots.txt"] = ("text/plain", b"User-agent: *\nCrawl-delay: 0.1\nDisallow: /private/")
+    began = time.monotonic()
+    rows = site.deep(Options(url=server.base + "/a", deep=DeepStrategy.BFS), lambda raw: (raw["final_url"], [server.base + "/b", server.base + "/private/x", server.base + "/c"]))
+    assert [u.rsplit("/", 1)[1] for u in rows] == ["a", "b", "c"] and time.monotonic() - began >= 0.2
+    assert server.hits.count("/robots.txt") == 1
+
+
+def test_events_of_a_run(spark, server):
+    from pagemill.operators import progress
+
+    places = spark.createDataFrame([(k, server.base + p) for k, p in enumerate(("/a", "/private/x", "/none"))], "page_id long, url string")
+    raw = spark.createDataFrame(H.fetch_pages(places, Options()).collect(), H.schema.RAW_PAGE)
+    events = progress.run_events(raw)
+    assert {(f.name, f.dataType) for f in events.schema} == {(f.name, f.dataType) for f in H.schema.EVENT}
+    found = {(r["kind"], r["total"], r["url"], r["error"] and r["error"].split(":")[0]) for r in events.collect()}
+    assert found == {("started", 3, None, None), ("finished", None, None, None), ("page_done", None, server.base + "/a", None), ("error", None, server.base + "/private/x", "Robots"), ("error", None, server.base + "/none", "status 404")}
+    assert progress.counters(events).first().asDict() == {"processed": 1, "errors": 2, "started": 1, "finished": 1}
+
+
 def test_site_discovery(server):
     assert site.site_urls(server.base + "/", Options()) == [server.base + "/a", server.base + "/b"]
     assert site.site_urls(server.base + "/", Options(match_pattern="/b")) == [server.base + "/b"]
