@@ -300,6 +300,8 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: boo
     an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent = [*keep] if "text" in keep else [*keep, F.col("text").alias("_text")]  # a text goes to Python once
+    place = keep.index("text") if "text" in keep else len(keep)
     span = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("stop", pa.int32())]))
     names = names[: 2 + spans]
 
@@ -308,9 +310,9 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: boo
         known = Known(model)
         for batch in batches:
             found = []
-            for text in batch.column(batch.num_columns - 1):
+            for text in batch.column(place):
                 found.append(label(text.as_py(), known, penalty))
-            columns = [*batch.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+            columns = [*batch.columns[: len(keep)], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             if spans:
                 columns.append(pa.array([[{"lang": a, "first": b, "stop": c} for a, b, c in x[2]] for x in found], span))
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
@@ -318,7 +320,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: boo
     schema = T.StructType([docs.schema[c] for c in keep])
     for name, kind in zip(names, (T.StringType(), T.DoubleType(), T.ArrayType(T.StructType().add("lang", "string").add("first", "integer").add("stop", "integer")))):
         schema = schema.add(name, kind)
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*sent).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

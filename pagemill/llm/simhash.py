@@ -52,14 +52,16 @@ def fingerprint_of(text: str | None, shingle: int = 4, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, keep: tuple[str, ...] = ("doc_id",), name: str = "fp") -> DataFrame:
     """keep's columns of every row of docs (text, ...) and fp long, which holds the unsigned fingerprint's bits."""
+    sent = [*keep] if "text" in keep else [*keep, F.col("text").alias("_text")]  # a text goes to Python once
+    place = keep.index("text") if "text" in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint_of(t.as_py(), shingle, seed) for t in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.array(found, np.uint64).view(np.int64))], names=[*keep, name])
+            found = [fingerprint_of(t.as_py(), shingle, seed) for t in batch.column(place)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.array(found, np.uint64).view(np.int64))], names=[*keep, name])
 
     schema = T.StructType([docs.schema[c] for c in keep]).add(name, "long")
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*sent).mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- plan of the index
