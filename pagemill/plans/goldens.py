@@ -61,7 +61,8 @@ SQL_ORDER_CITED = _sql_filled(ORDER_MD, *_cells, link="the file[1]")
 def _orders(spark, d):
     key, customer = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
     html = _filled(ORDER_PAGE, key, customer, (2 + F.col("o_orderkey") % 5).cast("string"), (F.col("o_orderkey") * 7).cast("string"))
-    return scratch.spread(table(spark, d, "orders")).select(F.col("o_orderkey").alias("page_id"), F.concat(F.lit("https://shop.example/orders/"), key).alias("url"), html.alias("html"))
+    orders = scratch.fan_out(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    return orders.select(F.col("o_orderkey").alias("page_id"), F.concat(F.lit("https://shop.example/orders/"), key).alias("url"), html.alias("html"))
 
 
 @plan("markdown_documents", f"SELECT page_id, 'Order ' || k || chr(10) || chr(10) || {SQL_ORDER_MD} AS markdown FROM {SQL_ORDERS}")

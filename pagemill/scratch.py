@@ -29,6 +29,14 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(int(tasks)) if tasks else scan
 
 
+def fan_out(rows: DataFrame, *keys: str) -> DataFrame:
+    """Few bytes that become much work, such as numbers that pages are made of: a scan's splits go by bytes and would
+    leave them to one task, so they are dealt out by their keys into several tasks a core, whatever the table's size."""
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, *keys)
+
+
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """df written and read again: its lineage ends there."""
     path = folder(df.sparkSession, label)

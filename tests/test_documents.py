@@ -2,6 +2,7 @@
 
 import pytest
 
+from pagemill import catalogue
 from pagemill.functions import codelang, html, markdown, readability, relevance, selectors
 
 PAGE = """<html lang="en"><head><meta charset="utf-8"><title>Bread at home</title>
@@ -152,3 +153,18 @@ def test_relevance():
 
 def test_last_of_several_headings_wins():
     assert relevance.split_blocks("# a\n\n# b\n\ntext\n\n# c") == ["# b\n\ntext", "# c"]
+
+
+@pytest.mark.parametrize("name", ["markdown_cited", "markdown_documents", "markdown_pages"])
+def test_few_bytes_that_become_many_pages_are_dealt_out(spark, sf_dir, name):
+    made = catalogue.QUERIES[name](spark, sf_dir)
+    tasks = made.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(tasks) >= 4 * spark.sparkContext.defaultParallelism and max(tasks) < sum(tasks) / 4
+
+
+def test_plain_tags_are_tags_as_others_are():
+    plain, other = "<P>a<B>b</B><br><Script>1<2</Script><h1>c</h1>", "<P >a<B >b</B ><br ><Script >1<2</Script ><h1 >c</h1 >"
+    seen = [[(t.kind, t.name, dict(t.attrs), t.raw) for t in html.tokens(x)] for x in (plain, other)]
+    assert seen[0] == seen[1] and html.serialise(html.parse(plain)) == html.serialise(html.parse(other))
+    quoted = "<p a='>' b=\">\" c>x</p><i 'y>z"
+    assert [quoted[t.start : t.end] for t in html.tokens(quoted)] == ["<p a='>' b=\">\" c>", "x", "</p>", "<i 'y>", "z"]
