@@ -16,11 +16,11 @@ def new_path(spark: SparkSession, label: str) -> str:
     return folder(spark, label)
 
 
-def write_table(df: DataFrame, label: str) -> DataFrame:
+def write_table(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, so a lost executor costs one file read."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._pagemill_path = path
     return out

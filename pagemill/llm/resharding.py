@@ -15,13 +15,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import documents, unused, write_table
+from pagemill.llm.common import documents, drop_table, new_path, unused, write_table
 
 #: Rows of a block that a flow cuts, about, and blocks of an old shard at most; a block with HOT times as many rows as the
 #: mean, as of a row that is repeated very often, is dealt out over as many more.
 BLOCK_ROWS, MOST_BLOCKS, HOT = 256, 4096, 8
 #: Rows that one window numbers, about, and groups of a shard at most.
 SLOT_ROWS, MOST_GROUPS = 20_000, 4096
+#: Of tables and shards, which hold whole rows.
+CODEC = "zstd"
 
 
 def capacities(total: int, shards: int) -> list[int]:
@@ -89,8 +91,9 @@ def reshard(rows: DataFrame, capacity, cost=None) -> DataFrame:
     rest = [c for c in columns if c not in ("doc_id", "size", "key", "old_shard")]
     shard, slot = unused("shard", columns), unused("slot", columns)
     rows = rows.select("doc_id", "size", "key", "old_shard", F.struct(*rest, F.lit(0).alias(unused("row", rest))).alias("_rest"), F.monotonically_increasing_id().alias("_row"))
-    rows = write_table(rows.withColumn("_bytes", F.coalesce(F.col("size"), F.lit(0)).cast("long")), "reshard-rows")
+    rows = write_table(rows.withColumn("_bytes", F.coalesce(F.col("size"), F.lit(0)).cast("long")), "reshard-rows", CODEC)
     out = _reshard(rows, capacity, cost)
+    drop_table(rows)  # all rows lie in the table that _reshard wrote
     return out.select(*[F.col("_rest")[c].alias(c) if c in rest else F.col(c) for c in columns], F.col("shard").alias(shard), F.col("slot").alias(slot))
 
 
@@ -134,7 +137,7 @@ def _reshard(rows: DataFrame, capacity, cost) -> DataFrame:
     placed = dealt.join(F.broadcast(_table(spark, kinds)), ["old_shard", "_block"])
     columns = rows.columns
 
-    def deal(table: pa.Table) -> pa.Table:
+    def deal(table: pa.Table) -> pa.Table:  # sees sizes and keys only, never the rows' other columns
         table = table.sort_by([("_bytes", "descending"), ("key", "ascending")])
         to, room = table["_to"][0].as_py(), table["_room"][0].as_py()
         shards = []
@@ -142,11 +145,12 @@ def _reshard(rows: DataFrame, capacity, cost) -> DataFrame:
             k = max(range(len(to)), key=lambda k: room[k])
             room[k] -= size
             shards.append(to[k])
-        return table.select(columns).append_column("shard", pa.array(shards, pa.int32()))
+        return table.select(["_row"]).append_column("shard", pa.array(shards, pa.int32()))
 
-    schema = T.StructType([*rows.schema, T.StructField("shard", T.IntegerType())])
-    some = placed.where("shard IS NULL").select(*columns, "_block", "_to", "_room").groupBy("old_shard", "_block").applyInArrow(deal, schema)
-    moved = write_table(placed.where("shard IS NOT NULL").select(*columns, "shard").unionByName(some), "reshard-moved")
+    some = placed.where("shard IS NULL")
+    places = some.select("_row", "_bytes", "key", "old_shard", "_block", "_to", "_room").groupBy("old_shard", "_block").applyInArrow(deal, "_row long, shard int")
+    some = some.drop("shard").join(places, "_row").select(*columns, "shard")
+    moved = write_table(placed.where("shard IS NOT NULL").select(*columns, "shard").unionByName(some), "reshard-moved", CODEC)
     return _slots(moved, len(goal))
 
 
@@ -174,21 +178,34 @@ def _table(spark, columns: dict) -> DataFrame:
 
 
 def rewrite_affected(docs: DataFrame, path: str) -> list[int]:
-    """docs (..., old_shard, shard, slot): write the shards that gain or lose rows, a folder each; which ones they are."""
+    """docs (..., old_shard, shard, slot) as reshard() returns them, dealt by shard and groups of slots: write the shards
+    that gain or lose rows, a folder each; which ones they are."""
     changed = docs.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
     numbers = sorted(r["shard"] for r in changed.collect())  # at most one per shard
-    docs.where(F.col("shard").isin(numbers)).repartition("shard", F.shiftright("slot", 16)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    docs.where(F.col("shard").isin(numbers)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path, compression=CODEC)
     return numbers
 
 
+def carry_out(docs: DataFrame, path: str) -> DataFrame:
+    """docs as for rewrite_affected -> the same rows: those of rewritten shards from their files, the others as they were.
+
+    Columns and values are those of docs; a shard that has lost all rows has no files; an empty table gives an empty one.
+    """
+    numbers = rewrite_affected(docs, path)
+    back = docs.sparkSession.read.schema(docs.schema).parquet(path).select(*docs.columns)
+    rest = docs.where(~F.col("shard").isin(numbers))
+    return back if rest.select("shard").isEmpty() else back.unionByName(rest)
+
+
 #: The layout that the query starts from, and the shards that it fills.
 OLD_SHARDS, NEW_SHARDS = 16, 24
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """From 16 shards by a hash of doc_id to 24 of equal bytes."""
+    """From 16 shards by a hash of doc_id to 24 of equal bytes; sizes and digests are of the texts in the shards' files."""
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    rows = documents(spark, sf_dir).select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    rows = rows.withColumn("old_shard", F.pmod(F.xxhash64(F.lit(16), "doc_id"), F.lit(OLD_SHARDS)).cast("int")).withColumn("key", F.xxhash64("doc_id", "text_crc32"))
-    out = reshard(rows, lambda total: capacities(total, NEW_SHARDS))
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    size, digest = (F.octet_length(text) + 8).cast("long"), F.crc32(text)
+    rows = documents(spark, sf_dir).select("doc_id", size.alias("size"), F.xxhash64("doc_id", digest).alias("key"), "text")
+    rows = rows.withColumn("old_shard", F.pmod(F.xxhash64(F.lit(16), "doc_id"), F.lit(OLD_SHARDS)).cast("int"))
+    out = carry_out(reshard(rows, lambda total: capacities(total, NEW_SHARDS)), new_path(spark, "reshard-shards"))
+    return out.select("doc_id", size.alias("size"), digest.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")

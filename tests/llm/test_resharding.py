@@ -102,3 +102,20 @@ def test_empty_and_rewrite(spark, tmp_path):
     numbers = R.rewrite_affected(out, str(tmp_path / "shards"))
     back = spark.read.parquet(str(tmp_path / "shards"))
     assert back.count() == out.where(F.col("shard").isin(numbers)).count() and set(numbers) == {0, 1, 2, 5}
+
+
+def test_rows_come_from_the_rewritten_files(spark, tmp_path):
+    df = spark.createDataFrame([(k, 100, k * 7919, k % 2, f"text {k}") for k in range(40)] + [(None, 100, 5, 2, None)] * 20, "doc_id long, size long, key long, old_shard int, text string")
+    out = R.reshard(df, lambda total: [2500, 1500, 2000])  # shard 1 gives five rows to shard 0, shard 2 stays
+    back = R.carry_out(out, str(tmp_path / "shards"))
+    assert back.columns == out.columns and sorted(map(str, back.collect())) == sorted(map(str, out.collect()))
+    files = spark.read.parquet(str(tmp_path / "shards"))
+    assert {r["shard"] for r in files.select("shard").distinct().collect()} == {0, 1} and files.count() == 40
+    assert [f for f in back.inputFiles() if "shard=0" in f] and not [f for f in back.inputFiles() if "shard=2" in f]
+    assert R.carry_out(R.reshard(df.limit(0), lambda total: [0, 0, 0]), str(tmp_path / "none")).count() == 0
+
+
+def test_query_reads_its_shards(spark, sf_dir):
+    out = R.query(spark, sf_dir)
+    read = {int(f.split("shard=")[1].split("/")[0]) for f in out.inputFiles() if "shard=" in f}
+    assert {r["shard"] for r in out.where("old_shard <> shard").select("shard").distinct().collect()} <= read and len(read) > 16
