@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -19,6 +20,19 @@ from pagemill.llm.common import documents, worker_cache
 
 #: Words whose ids a generation of a Python worker's cache keeps, the longest it keeps, and characters of a text that it splits at a time.
 KEPT, LONGEST, SLICE = 450_000, 40, 1 << 20
+#: How a word-level tokenizer splits texts, and the same for lower-cased Latin-1: its letters, digits and white space. What starts like
+#: "'s" stands before other marks in both.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LATIN_SPLIT = re.compile(r"[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|'s|'t|'re|'ve|'m|'ll|'d|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
+#: New pre-tokens that one call of the tokenizer gets.
+TOGETHER = 4096
+
+
+def is_latin(text: str) -> bool:
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
 
 
 def decompose(n: int, context: int) -> list[tuple[int, int]]:
@@ -36,6 +50,8 @@ class WordEncoder:
     """A tokenizer whose pre-tokenizer never joins what blanks separate: ids of a text are those of its words.
 
     Texts are split at spaces and line feeds only; a word that holds other white space goes to the tokenizer whole.
+    Texts of Latin-1 alone, which composition doesn't change and lower case changes letter by letter, are split into
+    pre-tokens as the tokenizer does, unless its split is another or they hold one of its added tokens.
     """
 
     def __init__(self, path: str, end: int):
@@ -43,6 +59,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end = Tokenizer.from_file(path), np.array([end], "<u4").tobytes()
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            cuts = (json.load(f).get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.latin = bool(cuts) and cuts[0].get("pattern") == {"Regex": SPLIT}
         self.known: dict[str, bytes] = {"": b""}  # the young generation; the old one is the last that was full
         self.old: dict[str, bytes] = {}
 
@@ -50,15 +70,45 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids, the end id last."""
         parts, at = [], 0
         text = text or ""
+        latin = self.latin and is_latin(text) and not any(x in text for x in self.added)
         while at < len(text):
             stop = at + SLICE
             if stop < len(text):
                 ends = [x for x in (text.find(" ", stop), text.find("\n", stop)) if x >= 0]
                 stop = min(ends, default=len(text))
-            parts.append(self._words(text[at:stop].replace("\n", " ").split(" ")))
+            parts.append(self._pre_tokens(LATIN_SPLIT.findall(text[at:stop].lower())) if latin else self._words(text[at:stop].replace("\n", " ").split(" ")))
             at = stop
         return b"".join([*parts, self.end])
 
+    def _pre_tokens(self, words: list[str]) -> bytes:
+        if len(self.known) > KEPT:
+            self.old, self.known = self.known, {"": b""}
+        new = set(words).difference(self.known)
+        if new:
+            fresh = []
+            for word in new:
+                ids = self.old.get(word)
+                if ids is None:
+                    fresh.append(word)
+                else:
+                    self.known[word] = ids
+            for k in range(0, len(fresh), TOGETHER):
+                self._learn(fresh[k : k + TOGETHER])
+        out = b"".join(map(self.known.__getitem__, words))
+        for word in new:
+            if len(word) > LONGEST:
+                del self.known[word]
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of pre-tokens, by one call for all: blanks between them go, and each keeps its place."""
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids, ends = np.array(found.ids, "<u4").tobytes(), 4 * np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(words)))
+        at = 0
+        for word, end in zip(words, ends.tolist()):
+            self.known[word] = ids[at:end]
+            at = end
+
     def _words(self, words: list[str]) -> bytes:
         got = list(map(self.known.get, words))
         if None in got:

@@ -83,3 +83,31 @@ def test_query_columns(spark, sf_dir, tokenizer):
     total = out.groupBy("doc_id").sum("length").collect()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     assert {r[0]: r[1] for r in total} == {d: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for d, t in texts.items()}
+
+
+def test_latin_texts_are_split_as_the_tokenizer_does(tokenizer, monkeypatch):
+    rng, encoder = random.Random(2), P.WordEncoder(P.tokenizer_path(), 1)
+    calls = []
+    monkeypatch.setattr(P, "TOGETHER", 7)
+    monkeypatch.setattr(P.WordEncoder, "_words", lambda self, words: calls.append(words))
+    signs = [chr(k) for k in range(256)]
+    texts = ["".join(signs), *(a + b for a in signs for b in "a'S1.\xa0"), "it's we'Re 'll''d don'ts ('ve", "x" * 100 + " " + "x" * 100, "", "  "]
+    texts += ["".join(rng.choice(signs if k % 2 else "aB'stdrevml .,\n1²é<|") for _ in range(rng.randint(1, 60))) for k in range(4000)]
+    for text in texts:
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1], text
+    assert not calls and all(len(word) <= P.LONGEST for word in encoder.known)
+
+
+def test_new_words_go_to_the_tokenizer_together(tokenizer):
+    class Counting:
+        calls = 0
+
+        def encode(self, text, add_special_tokens):
+            self.calls += 1
+            return tokenizer.encode(text, add_special_tokens=add_special_tokens)
+
+    encoder = P.WordEncoder(P.tokenizer_path(), 1)
+    encoder.tokenizer = Counting()
+    text = " ".join(f"Wordé{chr(97 + k // 26)}{chr(97 + k % 26)}, and." for k in range(500))
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+    assert encoder.tokenizer.calls == 1
